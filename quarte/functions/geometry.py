@@ -7,6 +7,7 @@ joints a query does not use.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -117,9 +118,9 @@ def only_valid(df: DataFrame, prefix: str = "") -> DataFrame:
     The other functions rely on NULL running through arithmetic."""
     cols = {}
     for k in JOINTS:
-        p = joint(k, prefix)
-        ok = (p[0] > 0) & (p[1] > 0)
-        cols |= {f"{prefix}x{k}": F.when(ok, p[0]), f"{prefix}y{k}": F.when(ok, p[1])}
+        x, y = f"{prefix}x{k}", f"{prefix}y{k}"
+        for c in (x, y):
+            cols[c] = F.expr(f"CASE WHEN {x} > 0 AND {y} > 0 THEN {c} END")
     return df.withColumns(cols)
 
 
@@ -128,13 +129,13 @@ def centroid(points: list[Point]) -> Point:
     return tuple(F.coalesce(mean_present([p[i] for p in points]), F.lit(0.0)) for i in (0, 1))
 
 
-def bbox(points: list[Point]) -> tuple[Column, Column, Column, Column]:
+def bbox(prefix: str = "") -> tuple[Column, Column, Column, Column]:
     """Box of present joints truncated to whole pixels, NULL under two joints."""
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    enough = total([F.when(x.isNotNull(), 1).otherwise(0) for x in xs]) >= 2
+    xs, ys = (", ".join(f"{prefix}{axis}{k}" for k in JOINTS) for axis in "xy")
+    present = " + ".join(f"int({prefix}x{k} IS NOT NULL)" for k in JOINTS)
     return tuple(
-        F.when(enough, edge.cast("long"))
-        for edge in (F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+        F.expr(f"CASE WHEN {present} >= 2 THEN bigint({edge}) END")
+        for edge in (f"least({xs})", f"least({ys})", f"greatest({xs})", f"greatest({ys})")
     )
 
 
@@ -161,18 +162,30 @@ def torso_scale(points: list[Point]) -> Column:
     return F.coalesce(F.greatest(*gaps), F.lit(1.0))
 
 
-def descriptor(points: list[Point]) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Ten angles and ten length ratios; a feature is NULL when undefined."""
-    angles = {n: joint_angle(points[a], points[b], points[c]) for n, (a, b, c) in ANGLES.items()}
-    ratios = {
-        n: segment(points[a], points[b]) / segment(points[c], points[d]) for n, (a, b, c, d) in RATIOS.items()
-    }
-    return angles, ratios
+def _length(a: int, b: int, p: str) -> str:
+    return f"sqrt(power({p}x{a} - {p}x{b}, 2) + power({p}y{a} - {p}y{b}, 2))"
 
 
-def angle_gap(a: Column, b: Column) -> Column:
-    import math
+def with_descriptor(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Add ten angles a0..a9 and ten length ratios r0..r9; NULL when undefined.
+    Limb lengths are computed once in a projection of their own."""
+    limbs = {frozenset(pair) for a, b, c in ANGLES.values() for pair in ((a, b), (c, b))}
+    limbs |= {frozenset(pair) for a, b, c, d in RATIOS.values() for pair in ((a, b), (c, d))}
+    p = prefix
+    name = lambda a, b: f"_{p}len{min(a, b)}_{max(a, b)}"
+    lengths = {name(*limb): F.expr(f"nullif(greatest({_length(*sorted(limb), p)}, 1e-9D), 1e-9D)") for limb in limbs}
+    cosines, out = {}, {}
+    for i, (a, b, c) in enumerate(ANGLES.values()):
+        dot = f"({p}x{a} - {p}x{b}) * ({p}x{c} - {p}x{b}) + ({p}y{a} - {p}y{b}) * ({p}y{c} - {p}y{b})"
+        cosines[f"_{p}cos{i}"] = F.expr(f"({dot}) / ({name(a, b)} * {name(c, b)})")
+        cos = f"_{p}cos{i}"
+        out[f"{p}a{i}"] = F.expr(f"acos(CASE WHEN {cos} > 1 THEN 1D WHEN {cos} < -1 THEN -1D ELSE {cos} END)")
+    for i, (a, b, c, d) in enumerate(RATIOS.values()):
+        out[f"{p}r{i}"] = F.expr(f"{name(a, b)} / {name(c, d)}")
+    return df.withColumns(lengths).withColumns(cosines).withColumns(out).drop(*lengths, *cosines)
 
+
+def angle_gap(a: Column, b: Column) -> Column:
     gap = F.abs(a - b)
     return F.least(gap, F.lit(2.0 * math.pi) - gap) / F.lit(math.pi)
 
@@ -181,25 +194,29 @@ def ratio_gap(a: Column, b: Column) -> Column:
     return F.abs(F.ln(F.when((a > 0) & (b > 0), a / b)))
 
 
-def with_mean_of(df: DataFrame, name: str, cols: list[Column], at_least: int = 1) -> DataFrame:
+def with_mean_of(df: DataFrame, name: str, exprs: list[str], at_least: int = 1) -> DataFrame:
     """Add the mean of present values, NULL when fewer than ``at_least`` are present.
     The values get their own projection so that each is computed once."""
-    temp = [f"_{name}{i}" for i in range(len(cols))]
-    staged = df.withColumns(dict(zip(temp, cols)))
-    n = total([F.when(F.col(t).isNotNull(), 1).otherwise(0) for t in temp])
-    s = total([F.coalesce(F.col(t), F.lit(0.0)) for t in temp])
-    return staged.withColumn(name, F.when(n >= at_least, s / n)).drop(*temp)
+    temp = [f"_{name}{i}" for i in range(len(exprs))]
+    staged = df.withColumns({t: F.expr(e) for t, e in zip(temp, exprs)})
+    n = " + ".join(f"int({t} IS NOT NULL)" for t in temp)
+    s = " + ".join(f"coalesce({t}, 0D)" for t in temp)
+    return staged.withColumn(name, F.expr(f"CASE WHEN {n} >= {at_least} THEN ({s}) / ({n}) END")).drop(*temp)
 
 
-def with_descriptor_gap(df: DataFrame, name: str, p, q) -> DataFrame:
+def with_descriptor_gap(df: DataFrame, name: str, p: str, q: str) -> DataFrame:
     """Mean gap over shared descriptor features, NULL (infinite) under six."""
-    gaps = [angle_gap(p[0][n], q[0][n]) for n in ANGLES] + [ratio_gap(p[1][n], q[1][n]) for n in RATIOS]
+    turn = f"{2.0 * math.pi!r}D"
+    gaps = [
+        f"least(abs({p}a{i} - {q}a{i}), {turn} - abs({p}a{i} - {q}a{i})) / {math.pi!r}D" for i in range(len(ANGLES))
+    ] + [f"abs(ln({p}r{i} / {q}r{i}))" for i in range(len(RATIOS))]
     return with_mean_of(df, name, gaps, 6)
 
 
-def with_keypoint_gap(df: DataFrame, name: str, p: list[Point], q: list[Point], joints=JOINTS) -> DataFrame:
+def with_keypoint_gap(df: DataFrame, name: str, p: str, q: str, joints=JOINTS) -> DataFrame:
     """Mean distance over joints present in both, NULL (infinite) when none is."""
-    return with_mean_of(df, name, [distance(p[k], q[k]) for k in joints])
+    gaps = [f"sqrt(power({p}x{k} - {q}x{k}, 2) + power({p}y{k} - {q}y{k}, 2))" for k in joints]
+    return with_mean_of(df, name, gaps)
 
 
 def pose(prefix: str = "") -> list[Point]:

@@ -50,28 +50,13 @@ class Arena:
 def with_box(df, prefix: str = ""):
     """Add bx1, by1, bx2, by2 with the prefix."""
     names = [f"{prefix}b{n}" for n in ("x1", "y1", "x2", "y2")]
-    return df.withColumns(dict(zip(names, g.bbox(g.pose(prefix)))))
+    return df.withColumns(dict(zip(names, g.bbox(prefix))))
 
 
 def box(prefix: str = ""):
     return tuple(F.col(f"{prefix}b{n}") for n in ("x1", "y1", "x2", "y2"))
 
 
-def with_descriptor(df, prefix: str = ""):
-    """Add the twenty descriptor columns a0..a9 and r0..r9 with the prefix."""
-    angles, ratios = g.descriptor(g.pose(prefix))
-    cols = {f"{prefix}a{i}": c for i, c in enumerate(angles.values())}
-    cols |= {f"{prefix}r{i}": c for i, c in enumerate(ratios.values())}
-    return df.withColumns(cols)
-
-
-def descriptor(prefix: str = ""):
-    return (
-        {n: F.col(f"{prefix}a{i}") for i, n in enumerate(g.ANGLES)},
-        {n: F.col(f"{prefix}r{i}") for i, n in enumerate(g.RATIOS)},
-    )
-
-
 def pad_box(b, width: int, height: int, pad_fraction: float):
     """Grow a box by max(24, fraction of its longer side) and clip it to the frame."""
     bw, bh = F.greatest(F.lit(1.0), b[2] - b[0]), F.greatest(F.lit(1.0), b[3] - b[1])

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("projections",)
+GROUPS = ("projections", "windows")
 
 
 def load() -> None:

@@ -32,7 +32,7 @@ def pairs(spark, sf):
     """Left and right pose of a frame in one row, prefixes l_ and r_, in pixels."""
     px = g.only_valid(src.pixel_poses(spark, sf))
     side = lambda s: px.where(F.col("side") == s).select(
-        "phrase_id", "frame", *[F.col(c).alias(f"{s[0]}_{c}") for c in v.COORDS]
+        "phrase_id", "frame", *[F.expr(f"{c} AS {s[0]}_{c}") for c in v.COORDS]
     )
     return side("left").join(side("right"), ["phrase_id", "frame"])
 
@@ -186,7 +186,7 @@ DESC_OUT = [f"a{i}" for i in range(10)] + [f"r{i}" for i in range(10)]
     ),
 )
 def pose_descriptor(spark, sf):
-    return tracks.with_descriptor(g.only_valid(src.poses(spark, sf))).select(*KEY, *[rnd(c).alias(c) for c in DESC_OUT])
+    return g.with_descriptor(g.only_valid(src.poses(spark, sf))).select(*KEY, *[rnd(c).alias(c) for c in DESC_OUT])
 
 
 LR_DESC = {
@@ -208,7 +208,7 @@ LR_DESC = {
     ),
 )
 def angle_ratio_distance(spark, sf):
-    rows = tracks.with_descriptor(tracks.with_descriptor(pairs(spark, sf), "l_"), "r_")
+    rows = g.with_descriptor(g.with_descriptor(pairs(spark, sf), "l_"), "r_")
     return rows.select(
         "phrase_id",
         "frame",
@@ -226,8 +226,8 @@ def angle_ratio_distance(spark, sf):
     ),
 )
 def descriptor_distance(spark, sf):
-    rows = tracks.with_descriptor(tracks.with_descriptor(pairs(spark, sf), "l_"), "r_")
-    rows = g.with_descriptor_gap(rows, "gap", tracks.descriptor("l_"), tracks.descriptor("r_"))
+    rows = g.with_descriptor(g.with_descriptor(pairs(spark, sf), "l_"), "r_")
+    rows = g.with_descriptor_gap(rows, "gap", "l_", "r_")
     return rows.select("phrase_id", "frame", rnd("gap").alias("gap"))
 
 
@@ -241,9 +241,8 @@ def descriptor_distance(spark, sf):
     ),
 )
 def keypoint_distance(spark, sf):
-    left, right = g.pose("l_"), g.pose("r_")
-    rows = g.with_keypoint_gap(pairs(spark, sf), "gap", left, right)
-    rows = g.with_keypoint_gap(rows, "torso_gap", left, right, g.TORSO)
+    rows = g.with_keypoint_gap(pairs(spark, sf), "gap", "l_", "r_")
+    rows = g.with_keypoint_gap(rows, "torso_gap", "l_", "r_", g.TORSO)
     return rows.select("phrase_id", "frame", rnd("gap").alias("gap"), rnd("torso_gap").alias("torso_gap"))
 
 
@@ -276,10 +275,10 @@ def track_cost(spark, sf):
     """Cost of the left pose as a detection for a track last seen at the right pose."""
     rows = pairs(spark, sf)
     for p in ("l_", "r_"):
-        rows = tracks.with_descriptor(tracks.with_box(rows, p), p)
-    det, prev = g.pose("l_"), g.pose("r_")
-    rows = g.with_keypoint_gap(rows, "kpt", det, prev)
-    rows = g.with_descriptor_gap(rows, "posture", tracks.descriptor("l_"), tracks.descriptor("r_"))
+        rows = g.with_descriptor(tracks.with_box(rows, p), p)
+    prev = g.pose("r_")
+    rows = g.with_keypoint_gap(rows, "kpt", "l_", "r_")
+    rows = g.with_descriptor_gap(rows, "posture", "l_", "r_")
     cost = tracks.track_cost(
         F.col("kpt"),
         tracks.box("l_"),
@@ -448,22 +447,19 @@ SWAPPED = {"swapped": f"SELECT {K}, " + ", ".join(f"{_swap_sql(k, a)} AS {a}{k}"
 def mirror(df):
     """Exchange mirrored joints so that the higher index leads. The comparison
     uses raw x, where a missing joint is 0."""
-    out = {f"{a}{k}": F.coalesce(f"{a}{k}", F.lit(0.0)) for k in g.JOINTS for a in "xy"}
+    raw = {c: F.expr(f"coalesce({c}, 0D)") for c in v.COORDS}
+    out = {}
     for a, b in g.MIRRORED:
-        xa, xb = out[f"x{a}"], out[f"x{b}"]
-        cross = F.when(F.col("side") == "left", xa > xb).otherwise(xa < xb)
+        cross = f"CASE WHEN side = 'left' THEN x{a} > x{b} ELSE x{a} < x{b} END"
         for axis in "xy":
-            pa, pb = out[f"{axis}{a}"], out[f"{axis}{b}"]
-            out[f"{axis}{a}"] = F.when(cross, pb).otherwise(pa)
-            out[f"{axis}{b}"] = F.when(cross, pa).otherwise(pb)
-    return df.withColumns(out)
+            out[f"{axis}{a}"] = F.expr(f"CASE WHEN {cross} THEN {axis}{b} ELSE {axis}{a} END")
+            out[f"{axis}{b}"] = F.expr(f"CASE WHEN {cross} THEN {axis}{a} ELSE {axis}{b} END")
+    return df.withColumns(raw).withColumns(out)
 
 
 def to_units(df, c: float):
     """Pixels to normalised units; a joint that is not strictly positive is missing."""
-    return df.withColumns(
-        {f"{a}{k}": F.when(g.valid(g.joint(k)), F.col(f"{a}{k}") / c) for k in g.JOINTS for a in "xy"}
-    )
+    return g.only_valid(df).withColumns({k: F.expr(f"{k} / {c!r}D") for k in v.COORDS})
 
 
 @query(

@@ -40,6 +40,23 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         + ", ".join(f"coalesce({c}, 0.0::DOUBLE) AS {c}" for c in COORDS)
         + " FROM pixels WHERE side = 'left'",
     ),
+    "info": (
+        (),
+        "SELECT label AS phrase_id, n, n * 4 // 5 - label % 3 AS left_hit, n * 4 // 5 - label % 4 AS right_hit, "
+        "n * 3 // 10 AS contact_1, CASE WHEN label % 4 <> 3 THEN n * 4 // 5 - 6 - label % 3 END AS contact_2, "
+        "CASE WHEN label % 5 = 0 THEN n * 4 // 5 - 7 END AS lockout "
+        "FROM (SELECT label, count(*)::INT AS n FROM embeddings GROUP BY label)",
+    ),
+    "hits": (
+        ("info",),
+        "SELECT phrase_id, 'left' AS side, left_hit AS hit_frame FROM info UNION ALL "
+        "SELECT phrase_id, 'right', right_hit FROM info",
+    ),
+    "contacts": (
+        ("info",),
+        "SELECT *, frame / 30.0::DOUBLE AS time_s FROM (SELECT phrase_id, 1 AS line_no, contact_1 AS frame FROM info UNION ALL "
+        "SELECT phrase_id, 2, contact_2 FROM info WHERE contact_2 IS NOT NULL)",
+    ),
     "signals": (
         (),
         "SELECT user_id * 1000 + dayofyear(ts) AS match_id, user_id, event_id AS idx, (epoch_us(ts) // 1000) AS signal_ts, "

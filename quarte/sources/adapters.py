@@ -29,11 +29,12 @@ def millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def _coord(k: int, axis: int) -> Column:
-    e = F.col("embedding")
-    raw = F.when(F.col("side") == "left", e[2 * k + axis]).otherwise(e[2 * k + 30 + axis])
-    gone = (F.col("vec_id") * 17 + k) % 11 == 0
-    return F.when(~gone, F.round(raw.cast("double") * 2 + 1.5, 6))
+def _coord(k: int, axis: int) -> str:
+    left, right = 2 * k + axis, 2 * k + 30 + axis
+    raw = f"CASE WHEN side = 'left' THEN embedding[{left}] ELSE embedding[{right}] END"
+    return (
+        f"CASE WHEN (vec_id * 17 + {k}) % 11 <> 0 THEN round(double({raw}) * 2 + 1.5D, 6) END AS {'xy'[axis]}{k}"
+    )
 
 
 def pose_frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,36 +48,27 @@ def pose_frames(spark: SparkSession, sf: str) -> DataFrame:
 def poses(spark: SparkSession, sf: str) -> DataFrame:
     """Wide poses: one row per phrase, side and frame with 17 joints."""
     sided = pose_frames(spark, sf).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
-    cols = [_coord(k, axis).alias(f"{'xy'[axis]}{k}") for k in JOINTS for axis in (0, 1)]
-    return sided.select("phrase_id", "side", "frame", *cols)
+    return sided.selectExpr("phrase_id", "side", "frame", *[_coord(k, axis) for k in JOINTS for axis in (0, 1)])
 
 
 def long_poses(wide: DataFrame, keys=("phrase_id", "side", "frame")) -> DataFrame:
     """One row per joint: keys, kp, x, y."""
-    joints = F.array(
-        *[F.struct(F.lit(k).alias("kp"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in JOINTS]
-    )
-    return wide.select(*keys, F.inline(joints))
+    joints = ", ".join(f"named_struct('kp', {k}, 'x', x{k}, 'y', y{k})" for k in JOINTS)
+    return wide.selectExpr(*keys, f"inline(array({joints}))")
 
 
 def pixel_poses(spark: SparkSession, sf: str) -> DataFrame:
-    wide = poses(spark, sf)
-    cols = [(F.col(f"{a}{k}") * PIXELS).alias(f"{a}{k}") for k in JOINTS for a in "xy"]
-    return wide.select("phrase_id", "side", "frame", *cols)
+    cols = [f"{a}{k} * {PIXELS!r}D AS {a}{k}" for k in JOINTS for a in "xy"]
+    return poses(spark, sf).selectExpr("phrase_id", "side", "frame", *cols)
 
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
     """Three candidate skeletons per frame, in pixels; missing joints are 0."""
-    cols = [F.coalesce(F.col(f"{a}{k}"), F.lit(0.0)).alias(f"{a}{k}") for k in JOINTS for a in "xy"]
+    cols = [f"coalesce({a}{k}, 0D) AS {a}{k}" for k in JOINTS for a in "xy"]
     return (
         pixel_poses(spark, sf)
-        .where(F.col("side") == "left")
-        .select(
-            "phrase_id",
-            F.expr("frame div 3").cast("int").alias("frame"),
-            F.expr("frame % 3").cast("int").alias("det_idx"),
-            *cols,
-        )
+        .where("side = 'left'")
+        .selectExpr("phrase_id", "int(frame div 3) AS frame", "int(frame % 3) AS det_idx", *cols)
     )
 
 
