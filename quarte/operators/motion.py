@@ -103,3 +103,68 @@ def fill_edges(df: DataFrame, keys, frame: str, cols: Sequence[str]) -> DataFram
         )
     drop = [f"_{s}_{c}" for c in cols for s in ("before", "after", "n")]
     return rows.withColumns(out).drop(*drop)
+
+
+def steps_between_present(df: DataFrame, keys, frame: str, steps: dict[str, tuple[tuple[str, ...], Column]]) -> DataFrame:
+    """Distance to the previous present position, skipping gaps, and its change.
+
+    ``steps`` is {name: (columns, present)}; adds <name> (step length, NULL
+    without a predecessor) and <name>_change (absolute change from the previous
+    step)."""
+    here = {n: F.when(ok, F.struct(*[F.col(c) for c in cols])) for n, (cols, ok) in steps.items()}
+    rows = df.withColumn("_series_chunk", chunk_of(frame))
+    rows = carry(rows, keys, "_series_chunk", [frame], last={f"_p_{n}": s for n, s in here.items()}, strict=True)
+    lengths = {}
+    for n, (cols, ok) in steps.items():
+        prev = F.col(f"_p_{n}")
+        gap = sum(((F.col(c) - prev[c]) * (F.col(c) - prev[c]) for c in cols[1:]), (F.col(cols[0]) - prev[cols[0]]) * (F.col(cols[0]) - prev[cols[0]]))
+        lengths[n] = F.when(ok, F.sqrt(gap))
+    rows = rows.withColumns(lengths).drop(*[f"_p_{n}" for n in steps])
+    rows = carry(rows, keys, "_series_chunk", [frame], last={f"_q_{n}": F.col(n) for n in steps}, strict=True)
+    return rows.withColumns({f"{n}_change": F.abs(F.col(n) - F.col(f"_q_{n}")) for n in steps}).drop(
+        "_series_chunk", *[f"_q_{n}" for n in steps]
+    )
+
+
+def mean_speed_base(df: DataFrame) -> DataFrame:
+    """Mean step of the front foot and mean absolute change of it, gaps skipped;
+    both are 0 for a phrase of fewer than three frames."""
+    keys = ["phrase_id", "side"]
+    present = F.col("x16").isNotNull() & F.col("y16").isNotNull()
+    rows = steps_between_present(
+        df.select(*keys, "frame", "x16", "y16"), keys, "frame", {"foot": (("x16", "y16"), present)}
+    )
+    long_enough = F.max("frame") >= 2
+    return rows.groupBy(*keys).agg(
+        F.when(long_enough, F.coalesce(F.avg("foot"), F.lit(0.0))).otherwise(0.0).alias("speed"),
+        F.when(long_enough, F.coalesce(F.avg("foot_change"), F.lit(0.0))).otherwise(0.0).alias("change"),
+    )
+
+
+def mean_speed(df: DataFrame) -> DataFrame:
+    """Mean absolute x step of the front foot followed by the torso centre, and
+    mean absolute change over the joined list of steps."""
+    keys = ["phrase_id", "side"]
+    from quarte.functions import geometry as g
+
+    rows = df.select(*keys, "frame", "x16", g.torso_center_joint(g.pose())[0].alias("torso"))
+    rows = steps_between_present(
+        rows,
+        keys,
+        "frame",
+        {"foot": (("x16",), F.col("x16").isNotNull()), "body": (("torso",), F.col("torso").isNotNull())},
+    )
+    n = F.count("foot") + F.count("body")
+    seam = F.abs(
+        F.min_by("body", F.when(F.col("body").isNotNull(), F.col("frame")))
+        - F.max_by("foot", F.when(F.col("foot").isNotNull(), F.col("frame")))
+    )
+    changes = F.count("foot_change") + F.count("body_change") + F.when(seam.isNotNull(), 1).otherwise(0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return rows.groupBy(*keys).agg(
+        F.coalesce((total("foot") + total("body")) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("speed"),
+        F.coalesce(
+            (total("foot_change") + total("body_change") + F.coalesce(seam, F.lit(0.0))) / F.nullif(changes, F.lit(0)),
+            F.lit(0.0),
+        ).alias("change"),
+    )

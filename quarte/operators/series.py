@@ -75,10 +75,14 @@ def carry(
     order: Sequence[str],
     last: dict[str, Column] | None = None,
     first: dict[str, Column] | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Add the latest present value at or before a row (``last``) and the
-    earliest present value at or after it (``first``)."""
+    earliest present value at or after it (``first``); ``strict`` leaves out the
+    row itself."""
     last, first = last or {}, first or {}
+    up = (Window.unboundedPreceding, -1) if strict else UP
+    down = (1, Window.unboundedFollowing) if strict else DOWN
     window = Window.partitionBy(*keys, chunk).orderBy(*order)
     chunks = Window.partitionBy(*keys).orderBy(chunk)
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
@@ -86,12 +90,12 @@ def carry(
 
     local, sums, carried = df, [], []
     for name, value in last.items():
-        local = local.withColumn(name, F.last(value, ignorenulls=True).over(window.rowsBetween(*UP)))
+        local = local.withColumn(name, F.last(value, ignorenulls=True).over(window.rowsBetween(*up)))
         stamped = F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order], value.alias("v")))
         sums.append(F.max(stamped)["v"].alias(f"_{name}"))
         carried.append(F.last(f"_{name}", ignorenulls=True).over(earlier).alias(f"_{name}"))
     for name, value in first.items():
-        local = local.withColumn(name, F.first(value, ignorenulls=True).over(window.rowsBetween(*DOWN)))
+        local = local.withColumn(name, F.first(value, ignorenulls=True).over(window.rowsBetween(*down)))
         stamped = F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order], value.alias("v")))
         sums.append(F.min(stamped)["v"].alias(f"_{name}"))
         carried.append(F.first(f"_{name}", ignorenulls=True).over(later).alias(f"_{name}"))

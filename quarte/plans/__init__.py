@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("projections", "windows")
+GROUPS = ("projections", "windows", "decisions")
 
 
 def load() -> None:

@@ -57,3 +57,26 @@ def contacts(spark: SparkSession, sf: str) -> DataFrame:
     both = "inline(array(named_struct('line_no', 1, 'frame', contact_1), named_struct('line_no', 2, 'frame', contact_2)))"
     rows = info(spark, sf).selectExpr("phrase_id", both).where("frame IS NOT NULL")
     return rows.withColumn("time_s", F.col("frame") / FPS)
+
+
+def facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrase facts for the decisions: frames, hits, earliest hit time, lockout in seconds."""
+    return info(spark, sf).select(
+        "phrase_id",
+        "n",
+        "left_hit",
+        "right_hit",
+        (F.least("left_hit", "right_hit") / FPS).alias("hit_time"),
+        (F.col("lockout") / FPS).alias("lockout"),
+    )
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """One contact frame per phrase: phrase_id, event_frame, n."""
+    return info(spark, sf).select("phrase_id", F.coalesce("contact_2", "contact_1").alias("event_frame"), "n")
+
+
+def attack_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Attack window per phrase and side: from a quarter of the phrase to the hit."""
+    rows = info(spark, sf).select("phrase_id", F.expr("int(n div 4)").alias("w_start"))
+    return hits(spark, sf).withColumnRenamed("hit_frame", "w_end").join(rows, "phrase_id")
