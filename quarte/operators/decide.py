@@ -15,6 +15,7 @@ from quarte.operators import contacts as ct, intervals as iv
 from quarte.operators.motion import mean_speed, mean_speed_base
 from quarte.operators.series import overlap_join, spread_join
 from quarte.params import PauseRules, Rules
+from quarte.session import stage
 
 SIDE = ["phrase_id", "side"]
 
@@ -223,16 +224,17 @@ def judge(
     classifiers. Winner is left, right or none."""
     cuts = cutoffs(facts)
     rows = truncate(poses, cuts)
-    marked = iv.slow_starts(iv.pauses(rows, rules.pause, fps), rules, fps)
+    # Interval tables are small and read by several tests below: stage each once.
+    marked = stage(iv.slow_starts(iv.pauses(rows, rules.pause, fps), rules, fps))
     pauses = marked.where(~F.col("is_slow_start"))
     slow = marked.where("is_slow_start").select(*SIDE).distinct()
     last_frame = facts.select("phrase_id", (F.col("n") - 1).alias("last_frame"))
     clamped = spread_join(hits, last_frame, ["phrase_id"], F.col("hit_frame")).select(
         *SIDE, F.greatest(F.lit(0), F.least("hit_frame", "last_frame")).alias("hit_frame")
     ).distinct()
-    lunges = iv.lunges(rows, clamped, rules.lunge, rules.pause, fps)
+    lunges = stage(iv.lunges(rows, clamped, rules.lunge, rules.pause, fps))
     arms = iv.arm_extensions(rows, cuts.select(*SIDE, F.col("cutoff").alias("hit_frame")), rules.arm)
-    harm = harmful(arms, lunges)
+    harm = stage(harmful(arms, lunges))
 
     shared_end = cuts.groupBy("phrase_id").agg(F.min("cutoff").alias("shared_max"))
     chosen = select_contact(contacts, facts, rules.contact_seconds).join(shared_end, "phrase_id")
@@ -241,7 +243,7 @@ def judge(
         "phrase_id", F.bround(F.col("contact_time") * fps).cast("int").alias("event_frame"), "n"
     )
     in_pixels = poses.withColumns({c: F.expr(f"{c} * {pixels!r}D") for c in poses.columns if c[0] in "xy"})
-    calls = ct.judge_contacts(in_pixels, events, rules.contact, fps)
+    calls = stage(ct.judge_contacts(in_pixels, events, rules.contact, fps).select("phrase_id", "is_accident", "benefit_side"))
     effective = calls.where(~F.col("is_accident")).select("phrase_id", F.col("benefit_side").alias("blade_side"))
 
     overlap = pause_overlap(pauses, rules, fps)
@@ -254,7 +256,7 @@ def judge(
     no_contact = F.col("blade_side").isNull()
     unpaused = F.col("left_paused").isNull() & F.col("right_paused").isNull()
     mode = F.when(no_contact & F.coalesce("overlap_ok", F.lit(False)), "overlap").when(no_contact & unpaused, "no_pause")
-    base = base.withColumn("mode", mode)
+    base = stage(base.withColumn("mode", mode))
     paused_end = F.when(F.col("side") == "left", F.col("left_last_end")).otherwise(F.col("right_last_end"))
     overlapping = F.col("mode") == "overlap"
     windows = (

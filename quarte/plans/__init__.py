@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("projections", "windows", "decisions")
+GROUPS = ("projections", "windows", "decisions", "logs")
 
 
 def load() -> None:

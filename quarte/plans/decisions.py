@@ -12,6 +12,7 @@ from quarte.plans.projections import WRIST
 from quarte.plans.registry import big, query, rnd
 from quarte.plans.views import sql
 from quarte.plans.windows import DIR, WIN, arm_ctes, island, lunge_ctes, pause_ctes
+from quarte.session import stage
 from quarte.sources import adapters as src, phrases as ph
 
 SIDE = ["phrase_id", "side"]
@@ -24,8 +25,13 @@ BASE = ("poses", "hits", "info", "contacts")
 SLOW = f"(start_frame <= {R.slow_start_frame} AND end_frame - start_frame + 1 < {int(FPS * R.slow_start_seconds)})"
 
 
+def stored_poses(spark, sf):
+    """The adapter poses as a stored table, as a pose archive would be."""
+    return stage(src.poses(spark, sf))
+
+
 def eval_poses(spark, sf):
-    return dc.truncate(src.poses(spark, sf), dc.cutoffs(ph.facts(spark, sf)))
+    return dc.truncate(stored_poses(spark, sf), dc.cutoffs(ph.facts(spark, sf)))
 
 
 @query(
@@ -405,13 +411,17 @@ FEAT_OUT = [c for c in ct.FEATURES if c != "attack_start_frame"]
 
 
 def features(spark, sf):
-    return ct.fencer_features(src.poses(spark, sf), ph.events(spark, sf))
+    return ct.fencer_features(stored_poses(spark, sf), ph.events(spark, sf))
+
+
+# A single step times 15 has six digits; four would round ties.
+DIGITS = {"front_velocity_peak_window": 6}
 
 
 def _featured(name, cols):
-    @query(name, sql(f"SELECT phrase_id, side, {', '.join('attack_start_frame::BIGINT AS attack_start_frame' if c == 'attack_start_frame' else f'{v.rnd(c)} AS {c}' for c in cols)} FROM feat", "poses", "info", **FEAT_SQL))
+    @query(name, sql(f"SELECT phrase_id, side, {', '.join('attack_start_frame::BIGINT AS attack_start_frame' if c == 'attack_start_frame' else f'{v.rnd(c, DIGITS.get(c, 4))} AS {c}' for c in cols)} FROM feat", "poses", "info", **FEAT_SQL))
     def run(spark, sf):
-        return features(spark, sf).select(*SIDE, *[big(c).alias(c) if c == "attack_start_frame" else rnd(c).alias(c) for c in cols])
+        return features(spark, sf).select(*SIDE, *[big(c).alias(c) if c == "attack_start_frame" else rnd(c, DIGITS.get(c, 4)).alias(c) for c in cols])
 
     return run
 
@@ -511,7 +521,7 @@ BASE_SQL = {
 
 @query("decide_base", sql("SELECT phrase_id, CASE WHEN way <> 'none' THEN way ELSE blade END AS winner, way AS right_of_way, blade AS blade_analysis FROM bb", *BASE, **BASE_SQL))
 def decide_base(spark, sf):
-    return dc.judge_base(src.poses(spark, sf), ph.contacts(spark, sf), ph.info(spark, sf), ph.BASE_RULES, FPS)
+    return dc.judge_base(stored_poses(spark, sf), ph.contacts(spark, sf), ph.info(spark, sf), ph.BASE_RULES, FPS)
 
 
 JUDGE_SQL = {
@@ -536,5 +546,5 @@ JUDGE_SQL = {
 @query("decide_fps30", sql("SELECT phrase_id, winner, reason, right_of_way, contact_judged, accident FROM verdict", *BASE, "pixels", **JUDGE_SQL))
 def decide_fps30(spark, sf):
     return dc.judge(
-        src.poses(spark, sf), ph.facts(spark, sf), ph.contacts(spark, sf), ph.hits(spark, sf), R, FPS, src.PIXELS
+        stored_poses(spark, sf), ph.facts(spark, sf), ph.contacts(spark, sf), ph.hits(spark, sf), R, FPS, src.PIXELS
     )

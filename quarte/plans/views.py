@@ -70,7 +70,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "plog": (
         (),
-        "SELECT phrase_id, line_no, t, CASE "
+        "SELECT phrase_id, line_no, ms, t, CASE "
         "WHEN i % 13 = 0 THEN 'Tracking indices -> fencer 1: ' || (i % 4) || ', fencer 2: ' || (i % 3) "
         f"WHEN k = 'click' THEN {_T} || 'Off-Target: Blade-to-blade contact.' || "
         "CASE i % 4 WHEN 0 THEN ' [left beat]' WHEN 1 THEN ' [Right_Defend]' WHEN 2 THEN ' [accident]' ELSE '' END "
@@ -85,7 +85,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "WHEN i % 5 = 3 THEN 'Manual selection winner: Left' "
         f"ELSE {_T} || 'Phrase recording started' END AS line "
         "FROM (SELECT user_id AS phrase_id, event_id AS i, event_type AS k, "
-        "(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS line_no, "
+        "(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS line_no, epoch_us(ts) // 1000 AS ms, "
         "((epoch_us(ts) // 1000) - min((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id)) / 1000.0::DOUBLE AS t FROM events)",
     ),
     "series": (

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = 8, partitions: int = 8) -> SparkSession:
@@ -27,12 +28,20 @@ def local_session(cores: str | int = 8, partitions: int = 8) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", "")
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the plan where several operators read the same intermediate result;
+    the copy survives lost executors and keeps column pruning."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quarte-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

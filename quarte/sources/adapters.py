@@ -108,7 +108,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phrase_log(spark: SparkSession, sf: str) -> DataFrame:
-    """(phrase_id, line_no, t, line): one text log per user."""
+    """(phrase_id, line_no, ms, t, line): one text log per user."""
     events = (
         table(spark, sf, "events")
         .select(F.col("user_id").alias("phrase_id"), "event_id", "event_type", "ts", millis("ts").alias("ms"))
@@ -143,7 +143,7 @@ def phrase_log(spark: SparkSession, sf: str) -> DataFrame:
         .when(i % 5 == 3, "Manual selection winner: Left")
         .otherwise(timed("Phrase recording started"))
     )
-    return rows.select("phrase_id", "line_no", "t", line.alias("line"))
+    return rows.select("phrase_id", "line_no", "ms", "t", line.alias("line"))
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
