@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("projections", "windows", "decisions", "logs")
+GROUPS = ("projections", "windows", "decisions", "logs", "matches")
 
 
 def load() -> None:
