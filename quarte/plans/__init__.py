@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("projections", "windows", "decisions", "logs", "matches")
+GROUPS = ("projections", "windows", "decisions", "logs", "matches", "repairs", "evaluation", "tracked")
 
 
 def load() -> None:
