@@ -78,7 +78,7 @@ LOGR = "abs(ln(greatest(da / greatest(ta, 1.0), 1e-6)))"
 )
 def det_track_costs(spark, sf):
     """The first two detections of the frame before stand for the tracks."""
-    rows = tr.prepared(src.detections(spark, sf))
+    rows = prepared(spark, sf)
     tracks = rows.where("det_idx < 2").withColumnRenamed("det_idx", "track_id")
     return tr.pair_costs(rows, tracks, ARENA).withColumn("cost", rnd("cost"))
 
@@ -92,6 +92,12 @@ REF = {
 }
 
 
+def prepared(spark, sf):
+    """Prepared detections as a stored table: they are read more than once, and a
+    filter on a box must not be pushed into the joint expressions."""
+    return stage(tr.prepared(src.detections(spark, sf)))
+
+
 def reference_row(spark, sf):
     return tr.prepared(src.detections(spark, sf).where("phrase_id = 0 AND frame = 0 AND det_idx = 0"))
 
@@ -101,7 +107,7 @@ def reference_row(spark, sf):
     sql("SELECT phrase_id, frame, half, det_idx::BIGINT AS det_idx FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id, frame, half ORDER BY coalesce(gap, 1e300), area DESC, det_idx) AS k FROM gapped) WHERE k = 1", "detections", **REF),
 )
 def top_candidates(spark, sf):
-    rows = tr.top_candidates(tr.prepared(src.detections(spark, sf)), reference_row(spark, sf), ARENA)
+    rows = tr.top_candidates(prepared(spark, sf), reference_row(spark, sf), ARENA)
     return rows.select("phrase_id", "frame", "half", big("det_idx").alias("det_idx"))
 
 
@@ -112,7 +118,7 @@ def top_candidates(spark, sf):
 def reference_posture(spark, sf):
     from quarte.functions import geometry as g
 
-    rows = tr.prepared(src.detections(spark, sf))
+    rows = prepared(spark, sf)
     # One reference row: a broadcast of fixed size.
     ref = F.broadcast(reference_row(spark, sf).limit(1).select(*[F.col(c).alias(f"ref_{c}") for c in tr.DESC]))
     return g.with_descriptor_gap(rows.join(ref), "gap", "", "ref_").select("phrase_id", "frame", "det_idx", rnd("gap").alias("gap"))
