@@ -177,7 +177,8 @@ class Tracker:
 
     def assign(self, dets: list[Detection]) -> dict[int, Detection]:
         """Cheapest joint assignment of both tracks, unmatched or crossing at a price."""
-        r, none = self.rules, [(None, r.unmatched)]
+        r = self.rules
+        none = [(None, r.unmatched)]
         options = []
         for tid, t in enumerate(self.tracks):
             if t is None:
@@ -272,8 +273,8 @@ def run_rows(batches: Iterator[pd.DataFrame], rules: TrackRules, backwards: bool
 
 
 def as_rows(rows: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=["phrase_id", "frame", "track_id", "det_idx", "observed"])
-    return pdf.astype({"phrase_id": "int32", "frame": "int32", "track_id": "int32", "det_idx": "Int32"})
+    columns = ["phrase_id", "frame", "track_id", "det_idx", "observed"]
+    return pd.DataFrame(rows, columns=columns).astype({"det_idx": "Int32"})
 
 
 def track(detections: DataFrame, rules: TrackRules, backwards: bool = False) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-GROUPS = ("projections", "windows", "decisions", "logs", "matches", "repairs", "evaluation", "tracked")
+GROUPS = (
+    "projections", "windows", "decisions", "logs", "matches", "repairs", "evaluation", "tracked", "whole_jobs",
+)
 
 
 def load() -> None:
