@@ -17,10 +17,12 @@ INPUTS = [f"delta_{c}" for c in ct.DELTAS] + ["front_gap", "front_gap_change", "
 FOLDS = 5
 
 
-def dataset(features: DataFrame, winners: DataFrame) -> DataFrame:
+def dataset(pairs: DataFrame, winners: DataFrame) -> DataFrame:
     """Paired features with label 1 for left; incomplete phrases are left out.
-    Folds come from a hash of the phrase, so they do not move between runs."""
-    rows = ct.feature_deltas(ct.side_pair(features)).join(winners, "phrase_id").na.drop(subset=INPUTS)
+
+    ``pairs`` is a stored table of feature deltas, so the completeness test runs
+    on its columns. Folds come from a hash of the phrase and do not move."""
+    rows = pairs.where(" AND ".join(f"{c} IS NOT NULL" for c in INPUTS)).join(winners, "phrase_id")
     return rows.withColumns(
         {"label": F.when(F.col("winner") == "left", 1.0).otherwise(0.0), "fold": F.pmod(F.xxhash64("phrase_id"), F.lit(FOLDS)).cast("int")}
     )

@@ -26,10 +26,11 @@ def short_phrases(spark, sf):
 def samples(spark, sf):
     poses = stage(short_phrases(spark, sf))
     sizes = poses.where("side = 'left'").groupBy("phrase_id").agg(F.count("frame").cast("int").alias("n"))
-    contacts = sizes.where(f"n > {CONTACT}").withColumn("event_frame", F.lit(CONTACT))
-    # Label: which side's front foot lies further ahead of the frame centre.
+    contacts = stage(sizes.where(f"n > {CONTACT}").withColumn("event_frame", F.lit(CONTACT)))
+    # The adapter has no verdicts: a fixed hash stands for the label.
     winners = contacts.select("phrase_id", F.when(F.xxhash64("phrase_id") % 3 == 0, "left").otherwise("right").alias("winner"))
-    return stage(learn.dataset(ct.fencer_features(poses, contacts), winners))
+    pairs = stage(ct.feature_deltas(ct.side_pair(stage(ct.fencer_features(poses, contacts)))))
+    return stage(learn.dataset(pairs, winners))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarte.operators import devices, tracking as tr
 from quarte.plans.matches import events, hourly
 from quarte.plans.projections import ARENA
-from quarte.plans.registry import query
+from quarte.plans.registry import ORACLES, query
 from quarte.plans.views import sql
 from quarte.sources import adapters as src
 from quarte.streaming import sessions as ss
@@ -64,12 +64,12 @@ def match_lifecycle_stream(spark, sf):
     return ss.run_to_end(ss.life_cycle(rows), "life")
 
 
-@query("dedup_stream")
+@query("dedup_stream", ORACLES["seq_dedup"])
 def dedup_stream(spark, sf):
     seq = F.when(F.col("event_type") != "click", F.floor(F.col("value") / 60))
     rows = stream_events(spark, sf).select("user_id", "event_id", "ms", seq.alias("seq"))
     out = ss.dedup(rows, "user_id", ["ms", "event_id"], "seq", "user_id bigint, event_id bigint, ms bigint, seq double")
-    return ss.run_to_end(out, "dedup")
+    return ss.run_to_end(out, "dedup").select("event_id", F.col("seq").cast("long").alias("seq"))
 
 
 @query("heartbeat_stream")
