@@ -36,7 +36,6 @@ _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _START = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 UP = (Window.unboundedPreceding, Window.currentRow)
-DOWN = (Window.currentRow, Window.unboundedFollowing)
 
 
 def chunk_of(frame: str, size: int | None = None) -> Column:
@@ -82,11 +81,13 @@ def carry(
     row itself."""
     last, first = last or {}, first or {}
     up = (Window.unboundedPreceding, -1) if strict else UP
-    down = (1, Window.unboundedFollowing) if strict else DOWN
+    # Looking ahead is looking back in reverse order: a running frame is linear,
+    # one that ends at the last row is recomputed for every row.
     window = Window.partitionBy(*keys, chunk).orderBy(*order)
-    chunks = Window.partitionBy(*keys).orderBy(chunk)
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    reverse = Window.partitionBy(*keys, chunk).orderBy(*[F.desc(c) for c in order])
+    before = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(*before)
+    later = Window.partitionBy(*keys).orderBy(F.desc(chunk)).rowsBetween(*before)
 
     local, sums, carried = df, [], []
     for name, value in last.items():
@@ -95,10 +96,10 @@ def carry(
         sums.append(F.max(stamped)["v"].alias(f"_{name}"))
         carried.append(F.last(f"_{name}", ignorenulls=True).over(earlier).alias(f"_{name}"))
     for name, value in first.items():
-        local = local.withColumn(name, F.first(value, ignorenulls=True).over(window.rowsBetween(*down)))
+        local = local.withColumn(name, F.last(value, ignorenulls=True).over(reverse.rowsBetween(*up)))
         stamped = F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order], value.alias("v")))
         sums.append(F.min(stamped)["v"].alias(f"_{name}"))
-        carried.append(F.first(f"_{name}", ignorenulls=True).over(later).alias(f"_{name}"))
+        carried.append(F.last(f"_{name}", ignorenulls=True).over(later).alias(f"_{name}"))
     summary = df.groupBy(*keys, chunk).agg(*sums).select(*keys, chunk, *carried)
     out = local.join(summary, [*keys, chunk])
     for name in [*last, *first]:

@@ -81,7 +81,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("phrase_id"), "value"
     )
-    lines = files.select("phrase_id", F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("i", "line"))
+    lines = files.select("phrase_id", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("i", "line"))
     return lines.select("phrase_id", (F.col("i") + 1).alias("line_no"), "line")
 
 
