@@ -19,7 +19,7 @@ CUT, CONTACT = 8, 6
 def short_phrases(spark, sf):
     """Whole pose table cut into phrases of eight frames."""
     return src.poses(spark, sf).withColumns(
-        {"phrase_id": F.expr(f"phrase_id * 100000 + frame div {CUT}"), "frame": F.expr(f"int(frame % {CUT})")}
+        {"phrase_id": F.expr(f"int(phrase_id * 100000 + frame div {CUT})"), "frame": F.expr(f"int(frame % {CUT})")}
     )
 
 
