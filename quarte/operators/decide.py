@@ -18,6 +18,8 @@ from quarte.params import PauseRules, Rules
 from quarte.session import stage
 
 SIDE = ["phrase_id", "side"]
+# Joints the frame-rate rules read.
+RULE_JOINTS = (5, 6, 8, 10, 11, 12, 13, 15, 16)
 
 
 def other(side: Column) -> Column:
@@ -223,7 +225,10 @@ def judge(
     ``pixels`` turns normalised joints back into pixels for the contact
     classifiers. Winner is left, right or none."""
     cuts = cutoffs(facts)
-    rows = truncate(poses, cuts)
+    # The cut poses feed eight operators: one join with the cutoffs, one copy of
+    # the joints the rules read.
+    used = [f"{a}{k}" for k in RULE_JOINTS for a in "xy"]
+    rows = stage(truncate(poses.select(*SIDE, "frame", *used), cuts))
     # Interval tables are small and read by several tests below: stage each once.
     marked = stage(iv.slow_starts(iv.pauses(rows, rules.pause, fps), rules, fps))
     pauses = marked.where(~F.col("is_slow_start"))

@@ -339,8 +339,8 @@ R73 = "format('{:7.3f}s | ', %s)"
     sql(
         "SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY part, ts, idx))::INT AS line_no, line FROM ("
         "SELECT user_id, 0 AS part, 0 AS ts, 0 AS idx, '  0.000s | Phrase recording started' AS line FROM fin UNION ALL "
-        "SELECT user_id, 1, 0, 0, '  0.000s | PisteLink timestamp mapping enabled'.replace_me FROM fin UNION ALL ".replace("'  0.000s | PisteLink timestamp mapping enabled'.replace_me", "'  0.000s | Timestamp mapping enabled'")
-        + f"SELECT user_id, 2, signal_ts, idx, {R73 % 'rel'} || CASE fight WHEN 3 THEN 'Off-Target: Blade-to-blade contact.' WHEN 8 THEN 'HIT: Left scores on Right!' ELSE 'HIT: Right scores on Left!' END FROM sg WHERE fight IN (3, 8, 9) UNION ALL "
+        "SELECT user_id, 1, 0, 0, '  0.000s | Timestamp mapping enabled' FROM fin UNION ALL "
+        f"SELECT user_id, 2, signal_ts, idx, {R73 % 'rel'} || CASE fight WHEN 3 THEN 'Off-Target: Blade-to-blade contact.' WHEN 8 THEN 'HIT: Left scores on Right!' ELSE 'HIT: Right scores on Left!' END FROM sg WHERE fight IN (3, 8, 9) UNION ALL "
         f"SELECT user_id, 3, 0, 0, {R73 % 'trel'} || 'HIT: Left scores on Right!' FROM fin WHERE ml UNION ALL SELECT user_id, 3, 0, 1, {R73 % 'trel'} || 'HIT: Right scores on Left!' FROM fin WHERE mr UNION ALL "
         f"SELECT user_id, 4, 0, 0, {R73 % 'coalesce(lock, trel)'} || 'Lockout period started (0.200s window)' FROM fin WHERE hl + hr > 0 OR ml OR mr UNION ALL "
         f"SELECT user_id, 5, 0, 0, {R73 % 'sim'} || 'Simultaneous valid hits detected.' FROM fin WHERE la AND lb UNION ALL "
