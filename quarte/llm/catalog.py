@@ -4,7 +4,7 @@ from importlib import import_module
 
 from quarte.llm import registry
 
-MODULES = ("quality_queries", "jaccard_queries", "repeat_queries")
+MODULES = ("quality_queries", "jaccard_queries", "repeat_queries", "token_queries")
 
 
 def load():
