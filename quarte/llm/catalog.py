@@ -4,7 +4,9 @@ from importlib import import_module
 
 from quarte.llm import registry
 
-MODULES = ("quality_queries", "jaccard_queries", "repeat_queries", "token_queries")
+MODULES = (
+    "quality_queries", "jaccard_queries", "repeat_queries", "token_queries", "page_queries",
+)
 
 
 def load():

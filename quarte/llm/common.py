@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarte.session import stage
 
-__all__ = ["blobs", "longs", "parts", "stage", "table"]
+__all__ = ["blobs", "free", "keyed", "longs", "parts", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +33,19 @@ def parts(spark: SparkSession, at_least: int = 1) -> int:
 def keyed(df: DataFrame, n: int, *cols: str) -> DataFrame:
     """Deal rows by key and sort each part by the given columns (the first is the key)."""
     return df.repartition(n, F.col(cols[0])).sortWithinPartitions(*cols)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    It acts on what the driver's garbage collection finds, every 30 minutes unless asked; a job of several large
+    exchanges would hold all of them until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: str, lanes: int = 32) -> DataFrame:
+    """Left join with a table of one row per key, so that a hot key is dealt over several tasks if it comes to a shuffle."""
+    lane = F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).alias("_lane")
+    spread = small.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    return rows.select("*", lane).join(spread, [on, "_lane"], "left").drop("_lane")
