@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,10 @@ def free(spark: SparkSession) -> None:
 
     It acts on what the driver's garbage collection finds, every 30 minutes unless asked; a job of several large
     exchanges would hold all of them until then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round drops the plans, the second what they alone referred to
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def join_small(rows: DataFrame, small: DataFrame, on: str, lanes: int = 32) -> DataFrame:

@@ -8,8 +8,8 @@ by bucket until the buckets are strings of ``length`` bytes:
    mostly share it and travel as one run (about one row for 35 bytes). Runs are dealt by bucket and sorted.
 2. Within a bucket, runs are sorted by the bucket identifiers of their later offsets (the three that cover the run's
    bytes). Runs with equal identifiers are equal strings: all but the first repeat. A bucket with one string is done.
-3. Only runs that meet different strings in their bucket are refined to single starts: the identifiers of 2q bytes,
-   got from those of q bytes, are used again at two offsets to name ``length`` bytes; starts are sorted by that name.
+3. Only runs that meet different strings in their bucket are refined to single starts: the identifiers of 64 bytes, got
+   from those of 32, are used again at two offsets to name ``length`` bytes; starts are sorted by that name.
 
 Identifiers are 64-bit hashes of the bytes; a start is named by 128 bits. A hot bucket holds one row per run of the
 documents that share it, never pairs, and each document spreads over the buckets of all its runs.
@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarte.llm.common import blobs, keyed, longs, parts, stage
+from quarte.llm.common import blobs, free, keyed, longs, parts, stage
 
 LENGTH = 100
-Q = 32
+Q = 48
 RUN = LENGTH - Q + 1  #: q-grams in a string, and starts in a run at most
+HALF = 64  #: bytes of the longest identifiers; two of them name LENGTH bytes, three the bytes of a run
 PIECE = 1 << 19  #: bytes hashed at a time
 NO_ID = -(2**63)
 BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -49,18 +50,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def identifiers(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers of the q and the 2q bytes from every offset, each made from two of half the length.
+    """Bucket identifiers of the Q and the 64 bytes from every offset, each made from two shorter ones.
 
     The data has LENGTH bytes at least."""
-    h, step, factor = BYTE[np.frombuffer(data, np.uint8)], 1, int(ODD)
-    short = h
-    while step < 2 * Q:
-        if step == Q:
-            short = h
+    h, step, factor, by_size = BYTE[np.frombuffer(data, np.uint8)], 1, int(ODD), {}
+    while step < HALF:
         h = h[:-step] * np.uint64(factor) + h[step:]
         factor = factor * factor % 2**64
         step *= 2
-    return short, h
+        by_size[step] = h, factor
+    (quarter, shift), (half, _) = by_size[16], by_size[32]
+    return half[:-16] * np.uint64(shift) + quarter[32:], h
 
 
 def least(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,7 +104,7 @@ def runs_of(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.nd
         start, total = np.repeat(first, pieces) + k * RUN, np.repeat(n, pieces)
         first, n = start, np.minimum(RUN, total - k * RUN)
     size = n + LENGTH - 1
-    far = size - 2 * Q
+    far = size - HALF
     name = mixed(long[first]) * ODD + mixed(long[first + far // 2])
     name = mixed(name) * ODD + mixed(long[first + far]) + size.astype(np.uint64)
     return bucket[first].view(np.int64), mixed(name).view(np.int64), first, n
@@ -233,7 +233,7 @@ def to_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(here):
                     continue
                 _, long = identifiers(text[at : at + PIECE + LENGTH - 1])
-                name, rest = mixed(long[here - at]), mixed(long[here - at + LENGTH - 2 * Q])
+                name, rest = mixed(long[here - at]), mixed(long[here - at + LENGTH - HALF])
                 n = len(here)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -270,15 +270,24 @@ def known(docs: DataFrame) -> DataFrame:
     )
 
 
+def resolved_runs(docs: DataFrame) -> DataFrame:
+    runs = keyed(known(docs).mapInArrow(to_runs, RUNS), parts(docs.sparkSession), "bucket", "name", "doc_id", "twin", "span")
+    return stage(runs.mapInArrow(resolve, FOUND))
+
+
+def resolved_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    open_runs = found.filter(~F.col("again")).groupBy("doc_id", "twin").agg(F.collect_list("span").alias("spans"))
+    starts = known(docs).join(open_runs, ["doc_id", "twin"]).mapInArrow(to_starts, NAMED)
+    dealt = keyed(starts, parts(docs.sparkSession), "name", "rest", "doc_id", "twin", "span")
+    return stage(dealt.mapInArrow(later, FOUND))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans (first start, number of starts) of every document (doc_id, twin) whose strings also start earlier."""
-    n = parts(docs.sparkSession)
-    rows = known(docs)
-    runs = keyed(rows.mapInArrow(to_runs, RUNS), n, "bucket", "name", "doc_id", "twin", "span")
-    found = stage(runs.mapInArrow(resolve, FOUND))
-    open_runs = found.filter(~F.col("again")).groupBy("doc_id", "twin").agg(F.collect_list("span").alias("spans"))
-    starts = rows.join(open_runs, ["doc_id", "twin"]).mapInArrow(to_starts, NAMED)
-    single = keyed(starts, n, "name", "rest", "doc_id", "twin", "span").mapInArrow(later, FOUND)
+    found = resolved_runs(docs)
+    free(docs.sparkSession)
+    single = resolved_starts(docs, found)
+    free(docs.sparkSession)
     return found.filter("again").unionByName(single).select("doc_id", "twin", "span")
 
 
