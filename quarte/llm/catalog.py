@@ -5,7 +5,8 @@ from importlib import import_module
 from quarte.llm import registry
 
 MODULES = (
-    "quality_queries", "jaccard_queries", "repeat_queries", "token_queries", "page_queries",
+    "quality_queries", "jaccard_queries", "repeat_queries", "token_queries", "page_queries", "vector_queries",
+    "score_queries",
 )
 
 

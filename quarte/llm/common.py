@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarte.session import stage
 
-__all__ = ["blobs", "free", "keyed", "longs", "parts", "stage", "table"]
+__all__ = ["blobs", "free", "join_small", "keyed", "longs", "parts", "stage", "table", "unstage"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +52,13 @@ def join_small(rows: DataFrame, small: DataFrame, on: str, lanes: int = 32) -> D
     lane = F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).alias("_lane")
     spread = small.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     return rows.select("*", lane).join(spread, [on, "_lane"], "left").drop("_lane")
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("quarte-"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
