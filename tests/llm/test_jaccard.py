@@ -90,6 +90,8 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u v"), (9, "q r s t u v"), (4, "")]
     got = jaccard.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 2, 3)] * 3 + [(4, 0, 4), (9, 2, 3)]
+    kept = jaccard.one_of_each(spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, "a b c d e f"), (3, "q r s t u v"), (4, "")]
     assert jaccard.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
