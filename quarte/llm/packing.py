@@ -27,7 +27,7 @@ from quarte.llm.running import before
 from quarte.llm.tokens import TOKENIZER, groups, words
 
 CAPACITY = 4096
-BLOCK = 4096  #: pieces in a block, on average
+BLOCK = 2048  #: pieces in a block, on average
 
 
 def spread(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:

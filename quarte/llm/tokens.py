@@ -1,8 +1,9 @@
 """Token ids of whole texts by a word-level BPE tokenizer file, word by word.
 
 White space separates what the tokenizer sees, so ids are looked up per distinct word: the tokenizers library encodes
-each word once, in a bounded cache, and texts are put together from the cached ids. Words of ASCII letters are further
-cut at the tokenizer's own split pattern, so that punctuation does not make words distinct."""
+each word once, in a bounded cache, and texts are put together from the cached ids. Words of ASCII and Latin-1 letters
+are further cut at the tokenizer's own split pattern, so that punctuation does not make words distinct; their parts are
+encoded together, as each part ends with a token that ends a word."""
 
 from __future__ import annotations
 
@@ -14,9 +15,11 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-CACHE = 300_000  #: words, and pieces of words, kept at most
-#: The split pattern of the tokenizer file, for lower-cased ASCII.
-SPLIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+CACHE, PARTS = 1_200_000, 800_000  #: words, and parts of words, kept at most
+TOGETHER = 4096  #: parts that the library gets as one text
+#: The split pattern of the tokenizer file, for lower-cased ASCII and Latin-1 letters.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,6 +28,50 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Places(dict):
+    """Numbers of words; a word not seen before gets the next number and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def noted(self) -> list:
+        new, self.new = self.new, []
+        return new
+
+
+class Runs:
+    """Ids of many words in one array."""
+
+    def __init__(self) -> None:
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(size) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[self.n : self.n + len(size)] = self.used + np.cumsum(size) - size
+        self.size[self.n : self.n + len(size)] = size
+        self.used, self.n = self.used + len(ids), self.n + len(size)
+
+    def __call__(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these numbers in a row, and where each of them begins and the last ends."""
+        size = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 class Words:
     """Ids of texts; ``path`` is a tokenizer file whose words end at ASCII white space."""
 
@@ -33,49 +80,56 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.piece: dict[bytes, list[int]] = {}
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def library(self, words: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [f.ids for f in found]
-
-    def learn(self, words: list[bytes]) -> None:
-        whole = [w for w in words if not w.isascii() or b"<|" in w]
-        cut = {w: SPLIT.findall(w.lower()) for w in words if w.isascii() and b"<|" not in w}
-        new = list({p for ps in cut.values() for p in ps}.difference(self.piece))
-        self.piece.update(zip(new, self.library(new), strict=True))
-        encoded = dict(zip(whole, self.library(whole), strict=True))
-        for w in words:
-            ids = encoded[w] if w in encoded else [i for p in cut[w] for i in self.piece[p]]
-            k = len(self.place)
-            if k == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.place[w], self.start[k], self.size[k] = k, self.used, len(ids)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.place, self.of_word = Places(), Runs()
+        self.part, self.of_part = Places(), Runs()
+
+    def library(self, words: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        return [np.array(f.ids, np.uint32) for f in found]
+
+    def learn_parts(self) -> None:
+        new = self.part.noted()
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            ids = self.library([" ".join(some)])[0]
+            size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(size) != len(some) or size.sum() != len(ids):
+                each = self.library(some)
+                ids, size = np.concatenate(each), np.array([len(e) for e in each])
+            self.of_part.add(ids, size)
+
+    def learn(self) -> None:
+        """Ids of the words noted as new, in the order of their numbers."""
+        words = [w.decode() for w in self.place.noted()]
+        cut = [SPLIT.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        parts = [p for ps in cut if ps for p in ps]
+        at = self.part.of(parts)
+        self.learn_parts()
+        ids, upto = self.of_part(at)
+        ends = upto[np.cumsum([len(ps) if ps else 0 for ps in cut])]
+        size = np.diff(ends, prepend=0)
+        odd = [k for k, ps in enumerate(cut) if ps is None]
+        if odd:
+            found = self.library([words[k] for k in odd])
+            ids = np.insert(ids, np.repeat(ends[odd], [len(f) for f in found]), np.concatenate(found))
+            size[odd] = [len(f) for f in found]
+        self.of_word.add(ids, size)
 
     def encode(self, texts: list[bytes], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end``, and the number of ids of each text."""
         split = [t.split() for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
-        words = [w for s in split for w in s]
-        if len(self.place) > CACHE or len(self.piece) > CACHE:
-            self.clear()
-        missing = set(words).difference(self.place)
-        if missing:
-            self.learn(list(missing))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])]
+        if len(self.place) > CACHE:
+            self.place, self.of_word = Places(), Runs()
+        if len(self.part) > PARTS:
+            self.part, self.of_part = Places(), Runs()
+        at = self.place.of([w for s in split for w in s])
+        if self.place.new:
+            self.learn()
+        ids, upto = self.of_word(at)
         edge = upto[np.concatenate([[0], np.cumsum(counts)])]
         if end is None:
             return ids, np.diff(edge)
