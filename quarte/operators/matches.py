@@ -14,8 +14,6 @@ from quarte.operators.series import nearby, number, spread_join
 DELIMITER, FRAME_START, HEADER, TRAILER = "8E", "02", 13, 4
 MAX_MESSAGE_BYTES = 65536
 EVENT_TYPES = ("hello_ack", "camera_ready", "camera_error", "match_result")
-# Signals per record part; a match with fewer signals has one record.
-PART = 1000
 
 
 def crc16(data: str) -> Column:
@@ -94,26 +92,22 @@ def messages(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def match_records(signals: DataFrame, chunk: str, order: Sequence[str], offset_ms: int) -> DataFrame:
-    """JSON records of matches with their hit signals in arrival order.
+    """JSON records of matches: a header (position 0) and one record per hit signal in arrival order from 1 on.
 
-    A record holds at most ``PART`` signals; a longer match continues in further
-    parts, so no record grows without bound."""
+    The form is the same for every match size, and no match is brought together in one record."""
     hit = F.col("source") == "hit"
-    heads = signals.groupBy("match_id").agg(F.min("signal_ts").alias("begin"))
-    rows = number(signals.where(hit), ["match_id"], chunk, order, "_n").withColumn("part", F.expr(f"_n div {PART}"))
-    item = F.struct(F.col("_n"), F.col("signal_ts").alias("timeStamp"), "fight")
-    parts = rows.groupBy("match_id", "part").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    listed = F.transform("items", lambda s: F.struct(s["timeStamp"].alias("timeStamp"), s["fight"].alias("fight")))
-    empty = F.expr("cast(array() AS array<struct<timeStamp: bigint, fight: bigint>>)")
-    record = F.struct(
+    begin = signals.groupBy("match_id").agg(F.min("signal_ts").alias("begin"))
+    head = F.struct(
         F.col("begin").alias("beginTimeStamp"),
         (F.col("begin") - 357).alias("voiceEndTime"),
-        F.coalesce(listed, empty).alias("list"),
         (F.col("match_id") % 11).alias("result"),
         F.lit(offset_ms).alias("video_sync_offset_ms"),
     )
-    joined = heads.join(parts, "match_id", "left")
-    return joined.select("match_id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), F.to_json(record).alias("record"))
+    heads = begin.select("match_id", F.lit(0).cast("long").alias("position"), F.to_json(head).alias("record"))
+    rows = number(signals.where(hit), ["match_id"], chunk, order, "_n")
+    item = F.struct(F.col("signal_ts").alias("timeStamp"), "fight")
+    rows = rows.select("match_id", (F.col("_n") + 1).cast("long").alias("position"), F.to_json(item).alias("record"))
+    return heads.unionByName(rows)
 
 
 def apply_corrections(signals: DataFrame, corrections: DataFrame) -> DataFrame:

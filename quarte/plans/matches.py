@@ -26,9 +26,9 @@ def hourly(df, col="ts"):
 @query(
     "match_record",
     sql(
-        "SELECT h.match_id, coalesce(part, 0)::BIGINT AS part, '{\"beginTimeStamp\":' || b || ',\"voiceEndTime\":' || (b - 357) || ',\"list\":[' || coalesce(items, '') || '],\"result\":' || (h.match_id % 11) || ',\"video_sync_offset_ms\":60}' AS record "
-        "FROM (SELECT match_id, min(signal_ts) AS b FROM signals GROUP BY match_id) h LEFT JOIN (SELECT match_id, n // 1000 AS part, string_agg('{\"timeStamp\":' || signal_ts || ',\"fight\":' || fight || '}', ',' ORDER BY n) AS items FROM "
-        "(SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY signal_ts, idx) - 1 AS n FROM signals WHERE source = 'hit') GROUP BY match_id, n // 1000) p ON h.match_id = p.match_id",
+        "SELECT match_id, 0::BIGINT AS position, '{\"beginTimeStamp\":' || b || ',\"voiceEndTime\":' || (b - 357) || ',\"result\":' || (match_id % 11) || ',\"video_sync_offset_ms\":60}' AS record "
+        "FROM (SELECT match_id, min(signal_ts) AS b FROM signals GROUP BY match_id) UNION ALL "
+        "SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY signal_ts, idx), '{\"timeStamp\":' || signal_ts || ',\"fight\":' || fight || '}' FROM signals WHERE source = 'hit'",
         "signals",
     ),
 )

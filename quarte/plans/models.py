@@ -14,19 +14,21 @@ from quarte.sources import adapters as src
 
 # Frames per short phrase and the contact frame inside it.
 CUT, CONTACT = 8, 6
+#: Short phrases that a label has room for; keys are BIGINT.
+PHRASES = "10000000000L"
 
 
 def short_phrases(spark, sf):
     """Whole pose table cut into phrases of eight frames."""
     return src.poses(spark, sf).withColumns(
-        {"phrase_id": F.expr(f"int(phrase_id * 100000 + frame div {CUT})"), "frame": F.expr(f"int(frame % {CUT})")}
+        {"phrase_id": F.expr(f"phrase_id * {PHRASES} + frame div {CUT}"), "frame": F.expr(f"int(frame % {CUT})")}
     )
 
 
 def samples(spark, sf):
     poses = stage(short_phrases(spark, sf))
     sizes = poses.where("side = 'left'").groupBy("phrase_id").agg(F.count("frame").cast("int").alias("n"))
-    contacts = stage(sizes.where(f"n > {CONTACT}").withColumn("event_frame", F.lit(CONTACT)))
+    contacts = stage(sizes.withColumn("event_frame", F.least(F.lit(CONTACT), F.col("n") - 1)))
     # The adapter has no verdicts: a fixed hash stands for the label.
     winners = contacts.select("phrase_id", F.when(F.xxhash64("phrase_id") % 3 == 0, "left").otherwise("right").alias("winner"))
     pairs = stage(ct.feature_deltas(ct.side_pair(stage(ct.fencer_features(poses, contacts)))))
@@ -36,18 +38,18 @@ def samples(spark, sf):
 @query(
     "ml_dataset",
     sql(
-        f"SELECT phrase_id, {', '.join(f'{v.rnd(e)} AS {n}' for n, e in DELTA_EXPR.items())} FROM lr", "posef",
+        f"SELECT phrase_id, {', '.join(f'{v.rnd(e, 3)} AS {n}' for n, e in DELTA_EXPR.items())} FROM lr", "posef",
         **{
-            "poses": "SELECT label * 100000 + frame0 // 8 AS phrase_id, side, (frame0 % 8)::INT AS frame, COORDS FROM (SELECT phrase_id AS label, frame AS frame0, vec_id, e FROM posef), (VALUES ('left'), ('right')) s(side)".replace(
+            "poses": "SELECT label::BIGINT * 10000000000 + frame0 // 8 AS phrase_id, side, (frame0 % 8)::INT AS frame, COORDS FROM (SELECT phrase_id AS label, frame AS frame0, vec_id, e FROM posef), (VALUES ('left'), ('right')) s(side)".replace(
                 "COORDS", ", ".join(v._coord(k, a) for k in range(17) for a in (0, 1))
             ),
             **PAIR_SQL,
-            "ce": "SELECT phrase_id, 6 AS event_frame, n FROM (SELECT phrase_id, count(*)::INT AS n FROM poses WHERE side = 'left' GROUP BY phrase_id) WHERE n > 6",
+            "ce": "SELECT phrase_id, least(6, n - 1)::INT AS event_frame, n FROM (SELECT phrase_id, count(*)::INT AS n FROM poses WHERE side = 'left' GROUP BY phrase_id)",
         },
     ),
 )
 def ml_dataset(spark, sf):
-    return samples(spark, sf).select("phrase_id", *[rnd(n).alias(n) for n in DELTA_EXPR])
+    return samples(spark, sf).select("phrase_id", *[rnd(n, 3).alias(n) for n in DELTA_EXPR])
 
 
 @query("ml_logistic")
@@ -59,14 +61,14 @@ def ml_logistic(spark, sf):
 
 @query("ml_gbt")
 def ml_gbt(spark, sf):
-    model, accuracy = learn.cross_validate(learn.boosting(3), samples(spark, sf))
+    model, accuracy = learn.cross_validate(learn.boosting(), samples(spark, sf))
     weights = [float(w) for w in model.stages[-1].featureImportances.toArray()]
     return spark.createDataFrame([(n, w, float(accuracy)) for n, w in zip(learn.INPUTS, weights)], "feature string, weight double, accuracy double")
 
 
 @query("ml_select")
 def ml_select(spark, sf):
-    name, _, scores = learn.select(samples(spark, sf), 3)
+    name, _, scores = learn.select(samples(spark, sf))
     return spark.createDataFrame([(k, float(s), k == name) for k, s in scores.items()], "model string, accuracy double, chosen boolean")
 
 

@@ -20,8 +20,10 @@ def kinds():
     )
 
 
-def stream_events(spark, sf):
-    return ss.source(spark, sf, "events").withColumn("ms", src.millis("ts"))
+def stream_events(spark, sf, files_per_trigger: int = 64):
+    """The events in the order of their time, with an end; the row that marks it has no event_id."""
+    rows = ss.replay(src.table(spark, sf, "events"), "ts", "user_id", files_per_trigger)
+    return rows.withColumn("ms", src.millis("ts"))
 
 
 @query("debounce")
@@ -56,36 +58,64 @@ def match_lifecycle(spark, sf):
     return devices.life_cycles(rows, "user_id", "_hour", ["ms", "idx"]).drop("start_n")
 
 
-@query("match_lifecycle_stream")
+LIFE_EVENTS = (
+    "SELECT user_id AS device, event_id AS idx, CASE kind WHEN 'ready' THEN 'playing' WHEN 'hit' THEN 'signal' WHEN 'end' THEN 'settling' WHEN 'cancel' THEN 'cancelled' ELSE 'preempted' END AS event, "
+    "CASE WHEN kind = 'start' THEN prior ELSE started END AS start_idx FROM "
+    "(SELECT *, max(event_id) FILTER (n = s) OVER (PARTITION BY user_id, s) AS started, "
+    "lag(s) OVER (PARTITION BY user_id ORDER BY n) AS s0 FROM n6) x LEFT JOIN "
+    "(SELECT user_id AS u, s AS ps, max(event_id) FILTER (n = s) AS prior, max(c) IS NOT NULL AS ended FROM n6 GROUP BY user_id, s) p ON p.u = x.user_id AND p.ps = x.s0 "
+    "WHERE (kind = 'start' AND s0 IS NOT NULL AND NOT ended) OR (kind = 'ready' AND n = r) OR (kind = 'cancel' AND n = c) "
+    "OR (kind = 'hit' AND p AND (e IS NULL OR n < e)) OR (kind = 'end' AND n = e)"
+)
+
+
+@query("match_lifecycle_stream", sql(LIFE_EVENTS, **LIFE))
 def match_lifecycle_stream(spark, sf):
     rows = stream_events(spark, sf).select(
         F.col("user_id").alias("device"), F.col("ms").alias("ts"), F.col("event_id").alias("idx"), kinds().alias("kind")
     )
-    return ss.run_to_end(ss.life_cycle(rows), "life")
+    return ss.run_to_end(ss.life_cycle(rows.where("idx IS NOT NULL")), "life")
 
 
 @query("dedup_stream", ORACLES["seq_dedup"])
 def dedup_stream(spark, sf):
     seq = F.when(F.col("event_type") != "click", F.floor(F.col("value") / 60))
-    rows = stream_events(spark, sf).select("user_id", "event_id", "ms", seq.alias("seq"))
+    rows = stream_events(spark, sf).where("event_id IS NOT NULL").select("user_id", "event_id", "ms", seq.alias("seq"))
     out = ss.dedup(rows, "user_id", ["ms", "event_id"], "seq", "user_id bigint, event_id bigint, ms bigint, seq double")
     return ss.run_to_end(out, "dedup").select("event_id", F.col("seq").cast("long").alias("seq"))
 
 
-@query("heartbeat_stream")
+# Sessions by lag and running sum; the end is the last message plus the allowed silence.
+BEATS = {
+    "b1": "SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)",
+    "b2": "SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM b1",
+}
+
+
+@query(
+    "heartbeat_stream",
+    sql("SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS lost_us, count(*) AS messages FROM b2 GROUP BY user_id, session", **BEATS),
+)
 def heartbeat_stream(spark, sf):
     rows = stream_events(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    return ss.run_to_end(ss.silences(rows, "user_id", "at", "6 hours"), "heartbeat")
+    out = ss.run_to_end(ss.silences(rows, "user_id", "at", "6 hours"), "heartbeat").where("user_id IS NOT NULL")
+    return out.select("user_id", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("lost_at").alias("lost_us"), "messages")
+
+
+NEAR_12H = (
+    "SELECT s.user_id, s.event_id AS idx, arg_min(f.event_id, (abs(epoch_us(f.ts) - epoch_us(s.ts)), f.ts, f.event_id)) AS frame "
+    "FROM events s LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') f ON s.user_id = f.user_id AND f.ts BETWEEN s.ts - INTERVAL 12 HOUR AND s.ts + INTERVAL 12 HOUR "
+    "WHERE s.event_type <> 'view' GROUP BY s.user_id, s.event_id"
+)
 
 
-@query("signal_frame_stream")
+@query("signal_frame_stream", NEAR_12H)
 def signal_frame_stream(spark, sf):
-    rows = stream_events(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
-    signals = rows.where("event_type <> 'view'").select("user_id", F.col("event_id").alias("idx"), "at")
-    frames = stream_events(spark, sf).where("event_type = 'view'").select(
-        "user_id", F.col("event_id").alias("frame"), F.col("ts").cast("timestamp").alias("at")
-    )
-    return ss.nearest(ss.run_to_end(ss.near_frames(signals, frames, "12 hours"), "near"))
+    # The end of input needs a key, or the join drops it before the watermark sees it.
+    rows = stream_events(spark, sf).withColumns({"at": F.col("ts").cast("timestamp"), "user_id": F.coalesce("user_id", F.lit(-1).cast("long"))})
+    signals = rows.where("event_type <> 'view' OR event_id IS NULL").select("user_id", F.col("event_id").alias("idx"), "at")
+    frames = rows.where("event_type = 'view' OR event_id IS NULL").select("user_id", F.col("event_id").alias("frame"), "at")
+    return ss.nearest(ss.run_to_end(ss.near_frames(signals, frames, "12 hours"), "near").where("idx IS NOT NULL"))
 
 
 def stream_detections(spark, sf):

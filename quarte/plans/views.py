@@ -125,7 +125,9 @@ def sql(body: str, *views: str, **more: str) -> str:
 
     for name in views:
         add(name)
-    parts = [f"{n} AS ({VIEWS[n][1]})" for n in needed] + [f"{n} AS ({text})" for n, text in more.items()]
+    kept = ("poses", "joints")  # read many times over
+    parts = [f"{n} AS {'MATERIALIZED ' * (n in kept)}({VIEWS[n][1]})" for n in needed]
+    parts += [f"{n} AS ({text})" for n, text in more.items()]
     return ("WITH " + ", ".join(parts) + " " if parts else "") + body
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +29,33 @@ def local_session(cores: str | int = 8, partitions: int = 8) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where unset."""
+    """The shared folder the cluster names; a temporary one only on a local master.
+
+    Executors of a cluster do not share the driver's disk, so without a name there is nowhere to put tables."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per context, wherever the job was started."""
+    context = spark.sparkContext
+    if getattr(context, "_quarte_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quarte-")) / "quarte.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._quarte_shipped = True
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

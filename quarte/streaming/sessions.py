@@ -2,13 +2,14 @@
 signal-to-frame matching.
 
 Keyed state is a few numbers per device or phrase. Rows of one key inside a
-micro-batch are put in time order first; their number is bounded by the trigger
-limits of the source.
+micro-batch are put in time order first; stored tables are replayed in slices of
+time, so that order holds over micro-batches too.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,22 +21,41 @@ from quarte.operators import asof, tracking
 from quarte.session import checkpoint_dir
 
 
+SLICES = 8  #: stretches of time that a stored table is replayed in
+BEYOND = "INTERVAL 3650 DAYS"  #: how far after the last row the end of input is stamped
+
+
 def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A table folder read as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    """A stored table, one file or a folder of them, as a stream of files in the order they were written."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern, as a plain path has to be a folder
+
+
+def replay(rows: DataFrame, time: str, key: str, files_per_trigger: int = 64, slices: int | None = None) -> DataFrame:
+    """Stored rows as a stream in event time, with an end.
+
+    Rows are written to the shared folder slice by slice of their time, so that file order is time order whatever the
+    order of the table's own files; rows of a key in a slice share a file. One last row, all NULL but for a time far
+    beyond the others, moves the watermark past everything: open sessions and unmatched rows come out. Rows without a
+    time come with the first slice."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/quarte-replay-{uuid.uuid4().hex}"
+    stamp = F.unix_micros(F.col(time).cast("timestamp"))
+    slices = slices or SLICES
+    marks = rows.select(stamp.alias("_t")).agg(F.percentile_approx("_t", [i / slices for i in range(1, slices)], 10000)).first()[0]
+    at = sum((F.coalesce((stamp > m).cast("int"), F.lit(0)) for m in sorted(set(marks or []))), F.lit(0))
+    for k in range(len(set(marks or [])) + 1):
+        rows.filter(at == k).repartition(key).write.mode("append").parquet(path)
+    end = rows.agg(F.max(time).alias("_end")).filter("_end IS NOT NULL")
+    last = [F.expr(f"_end + {BEYOND}") if c == time else F.lit(None) for c in rows.columns]
+    end.select(*(e.cast(rows.schema[c].dataType).alias(c) for e, c in zip(last, rows.columns))).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all data at hand into a stored table and read that."""
     spark = stream.sparkSession
-    import uuid
-
     base = f"{checkpoint_dir(spark).rstrip('/')}/quarte-stream-{name}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet")
