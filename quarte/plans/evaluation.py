@@ -11,6 +11,7 @@ from quarte.plans import views as v
 from quarte.plans.projections import BOXED, boxed
 from quarte.plans.registry import big, query, rnd, yes
 from quarte.plans.views import sql
+from quarte.session import shared_path
 from quarte.sources import adapters as src, tables
 
 SIDE = ["phrase_id", "side"]
@@ -19,13 +20,16 @@ K = "phrase_id, side, frame"
 
 @query("pose_scan", sql(f"SELECT {K}, kp::BIGINT AS kp, x, y FROM joints", "joints"))
 def pose_scan(spark, sf):
-    """Joint sheets with text cells and kp_N headers, read back as long rows."""
+    """Joint sheets with text cells and kp_N headers, written as CSV and read back as long rows."""
     sheets = tables.to_sheets(src.poses(spark, sf))
     text = sheets.select(
         "phrase_id", "sheet", "frame",
         *[F.coalesce(F.col(f"kp_{k}").cast("string"), F.lit("n/a")).alias(f"kp_{k}") for k in range(17)],
     )
-    return tables.scan_sheets(text).withColumn("kp", big("kp"))
+    path = shared_path(spark, "sheets")
+    text.write.option("header", "true").csv(path)
+    stored = spark.read.schema(text.schema).option("header", "true").csv(path)
+    return tables.scan_sheets(stored).withColumn("kp", big("kp"))
 
 
 @query(
@@ -57,7 +61,11 @@ def pose_scan_scaled(spark, sf):
     ),
 )
 def pose_sink(spark, sf):
-    return tables.to_sheets(src.poses(spark, sf))
+    """Sheets written twice; the second run replaces the first."""
+    poses, path = src.poses(spark, sf), shared_path(spark, "sheets")
+    tables.write_sheets(poses.limit(1), path)
+    tables.write_sheets(poses, path)
+    return spark.read.parquet(path).select(*tables.to_sheets(poses).columns)
 
 
 @query(
@@ -154,7 +162,11 @@ def decision_json(spark, sf):
 def bucket_sink(spark, sf):
     right = F.when(F.col("predicted") == F.col("label"), "correct").otherwise("mismatch")
     contact = F.when(F.col("confidence") == "high", "blade_contact").otherwise("no_blade_contact")
-    return src.predictions(spark, sf).select("item_id", F.concat(right, F.lit("/"), contact).alias("bucket"))
+    rows = src.predictions(spark, sf).select("item_id", F.concat(right, F.lit("/"), contact).alias("bucket"))
+    path = shared_path(spark, "buckets")
+    tables.write_buckets(rows.withColumn("item_id", -F.col("item_id")), path)
+    tables.write_buckets(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).select("item_id", "bucket")
 
 
 BENCH_LINE = {

@@ -11,7 +11,8 @@ from quarte.operators.series import number, nearby, spread_join
 from quarte.plans import views as v
 from quarte.plans.registry import big, query, rnd, yes
 from quarte.plans.views import sql
-from quarte.sources import adapters as src
+from quarte.session import shared_path
+from quarte.sources import adapters as src, tables
 
 AT = r"try_cast(nullif(regexp_extract(line, '(\d+\.\d+)s', 1), '') AS DOUBLE)"
 
@@ -241,7 +242,12 @@ def asof_containing(spark, sf):
     sql("SELECT user_id, count(*) AS n_frames, min(ts) AS first_ts, max(ts) AS last_ts, max(frame)::BIGINT AS last_frame FROM frames GROUP BY user_id", "frames"),
 )
 def frame_ts_scan(spark, sf):
-    return src.frames(spark, sf).groupBy("user_id").agg(
+    """Frame stamps written as JSON lines and read back."""
+    frames, path = src.frames(spark, sf), shared_path(spark, "stamps")
+    stamps = frames.select(F.col("user_id").cast("string").alias("match_id"), "frame", "ts", F.lit(None).cast("long").alias("mono_ns"))
+    tables.write_json(stamps, path)
+    stored = tables.read_stamps(spark, path).withColumn("user_id", F.col("match_id").cast(frames.schema["user_id"].dataType))
+    return stored.groupBy("user_id").agg(
         F.count("ts").alias("n_frames"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), big(F.max("frame")).alias("last_frame")
     )
 
@@ -402,4 +408,6 @@ def legacy_log_sink(spark, sf):
     )
     lines = frame.unionByName(scored).withColumn("_chunk_key", F.struct("part", F.expr(f"ts div {src.HOUR_MS}")))
     out = number(lines, ["user_id"], "_chunk_key", ["part", "ts", "idx"], "line_no", start=1)
-    return out.select("user_id", "line_no", "line")
+    written, path = out.select("user_id", "line_no", "line"), shared_path(spark, "log")
+    tables.write_json(written, path)
+    return spark.read.schema(written.schema).json(path)

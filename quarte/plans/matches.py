@@ -10,7 +10,8 @@ from quarte.operators.series import nearby, number
 from quarte.plans import views as v
 from quarte.plans.registry import big, query, rnd, yes
 from quarte.plans.views import sql
-from quarte.sources import adapters as src
+from quarte.session import shared_path
+from quarte.sources import adapters as src, tables
 
 MS = "(epoch_us(ts) // 1000)"
 
@@ -33,7 +34,12 @@ def hourly(df, col="ts"):
     ),
 )
 def match_record(spark, sf):
-    return mt.match_records(hourly(src.signals(spark, sf), "signal_ts"), "_hour", ["signal_ts", "idx"], 60)
+    """Records written by group of matches and read back; writing a group again replaces it."""
+    records = mt.match_records(hourly(src.signals(spark, sf), "signal_ts"), "_hour", ["signal_ts", "idx"], 60)
+    path = shared_path(spark, "records")
+    tables.write_records(records.where("position = 0"), path)
+    tables.write_records(records, path)
+    return spark.read.schema(records.schema).json(path).select("match_id", "position", "record")
 
 
 MSG = {

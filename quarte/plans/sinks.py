@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quarte.operators import asof, evaluate as ev
 from quarte.plans.logs import ASOF, NEAREST, user_signals
 from quarte.plans.registry import query
 from quarte.plans.views import sql
-from quarte.session import checkpoint_dir
+from quarte.session import shared_path as folder
 from quarte.sources import adapters as src, tables
 
 
-def folder(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/quarte-{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "mapping_sink",
     sql(f"SELECT idx, ({NEAREST})::BIGINT AS mapped_frame, 'nearest' AS mapping_mode FROM af", "signals", "frames", **ASOF),

@@ -56,12 +56,17 @@ def ship(spark: SparkSession) -> None:
     context._quarte_shipped = True
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarte-{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the plan where several operators read the same intermediate result;
     the copy survives lost executors and keeps column pruning."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quarte-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
