@@ -6,9 +6,9 @@ hash space with one content: a band with at most D different elements between li
 segments, so linked sets agree in at least one whole segment and meet in its tile. A passage that many documents share
 does not bring them together unless nothing else of theirs falls into the segment.
 
-1. In every tile each member is paired with the smallest one (linear in the tile). Pairs of equal sets link at once. For
-   the others bit counts of hashed bitmaps bound the overlap from above, and what passes is settled by intersecting the
-   sorted arrays. Links give components.
+0. Equal sets link at once, and only the first of them goes on.
+1. In every tile each member is paired with the smallest one (linear in the tile). Bit counts of hashed bitmaps bound
+   the overlap from above, and what passes is settled by intersecting the sorted arrays. Links give components.
 2. Tiles whose other members already lie in one component are done. The rest are compared member by member across
    components, large tiles in blocks of rows sorted by size, by bitmaps and then exactly.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarte.llm.common import blobs, keyed, longs, parts, stage
+from quarte.llm.common import blobs, free, keyed, longs, parts, stage
 from quarte.llm.components import components
 
 WORDS = 5
@@ -280,21 +280,22 @@ def by_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def links(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link: equal sets at once, the others by bitmap and then by their sorted arrays."""
-    small = facts.select("doc_id", "n", "h1", "h2")
-    sized = stage(
-        with_sides(pairs, small, ["n", "h1", "h2"])
-        .filter(100 * F.least("an", "bn") >= SHARE * F.greatest("an", "bn"))
-        .withColumn("same", (F.col("an") == F.col("bn")) & (F.col("ah1") == F.col("bh1")) & (F.col("ah2") == F.col("bh2")))
-        .select("a", "b", "same")
-    )
-    open_pairs = with_sides(sized.filter("not same").select("a", "b"), facts, ["n", "bits"])
-    close = open_pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(by_bitmap, "a long, b long")
+def close_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and bitmaps allow a link."""
+    sized = with_sides(pairs, facts.select("doc_id", "n"), ["n"])
+    sized = sized.filter(100 * F.least("an", "bn") >= SHARE * F.greatest("an", "bn")).select("a", "b")
+    both = with_sides(sized, facts, ["n", "bits"]).select("a", "b", "an", "bn", "abits", "bbits")
+    return stage(both.mapInArrow(by_bitmap, "a long, b long").distinct())
+
+
+def links(pairs: DataFrame, facts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link: what the bitmaps allow is settled by the sorted arrays of the texts concerned."""
+    close = close_pairs(pairs, facts)
+    concerned = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stage(rows.join(concerned, "doc_id", "left_semi").mapInArrow(to_sets, "doc long, items binary"))
     for side in ("b", "a"):
         close = close.join(sets.select(F.col("doc").alias(side), F.col("items").alias(side + "items")), side)
-    exact = close.select("a", "b", "aitems", "bitems").mapInArrow(by_items, "a long, b long")
-    return sized.filter("same").select("a", "b").unionByName(exact)
+    return stage(close.select("a", "b", "aitems", "bitems").mapInArrow(by_items, "a long, b long").toDF("u", "v"))
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,20 +363,46 @@ def rest_pairs(members: DataFrame, found: DataFrame, facts: DataFrame) -> DataFr
     return dealt.select(*cols).mapInArrow(across, "a long, b long").distinct()
 
 
+def copies_of(facts: DataFrame) -> DataFrame:
+    """Nodes whose set an earlier node has too: (u, v), the first and the later one."""
+    sets = facts.filter("n > 0").select("n", "h1", "h2", "doc_id").distinct()
+    first = sets.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("u"), F.count(F.lit(1)).alias("held"))
+    later = sets.join(first.filter("held > 1").drop("held"), ["n", "h1", "h2"]).filter("doc_id <> u")
+    return later.select("u", F.col("doc_id").alias("v"))
+
+
+def tile_members(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """Tiles with their hub and their other members; of equal sets only the first is a member.
+
+    Copies share all tiles and the hub is the smallest of a tile, so it is never one of the later copies. A node of
+    several sets (a repeated doc_id) stays, as it may link by its other sets."""
+    tiles = keyed(rows.mapInArrow(to_tiles, "tile long, doc long"), parts(rows.sparkSession), "tile", "doc")
+    members = tiles.mapInArrow(to_hubs, "tile long, hub long, doc long")
+    return members.join(copies.select(F.col("v").alias("doc")), "doc", "left_anti").select("tile", "hub", "doc")
+
+
+def several_sets(facts: DataFrame) -> DataFrame:
+    """Nodes with several rows."""
+    return facts.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links."""
-    n = parts(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     facts = stage(rows.mapInArrow(measure, "doc_id long, n long, h1 long, h2 long, bits binary"))
-    tiles = keyed(rows.mapInArrow(to_tiles, "tile long, doc long"), n, "tile", "doc")
-    members = stage(tiles.mapInArrow(to_hubs, "tile long, hub long, doc long"))
+    copies = stage(copies_of(facts))
+    members = stage(tile_members(rows, copies.join(several_sets(facts), "v", "left_anti")))
+    free(spark)
     pairs = stage(members.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(rows.join(involved, "doc_id", "left_semi").mapInArrow(to_sets, "doc long, items binary"))
-    first = stage(links(pairs, facts, sets))
-    found = stage(components(first.toDF("u", "v")))
-    more = links(stage(rest_pairs(members, found, facts)), facts, sets)
-    found = components(first.unionByName(more).toDF("u", "v"))
+    first = links(pairs, facts, rows)
+    free(spark)
+    found = stage(components(first.unionByName(copies)))
+    rest = stage(rest_pairs(members, found, facts))
+    free(spark)
+    more = links(rest, facts, rows)
+    free(spark)
+    found = components(found.toDF("v", "u").unionByName(more))
     out = facts.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select(
         F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"),
@@ -384,9 +411,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that link with a smaller doc_id; columns stay as they are.
-
-    Documents of a component go but for its smallest doc_id; rows that repeat a doc_id are left to their caller."""
-    found = near_duplicates(docs).filter("component_id <> doc_id or (component_id is null and doc_id is not null)")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The documents without those that link with a smaller doc_id, or repeat a row; columns stay as they are.
+
+    Of rows with the same doc_id and text one stays."""
+    found = stage(near_duplicates(docs))
+    linked_away = (F.col("component_id") != F.col("doc_id")) | (F.col("component_id").isNull() & F.col("doc_id").isNotNull())
+    gone = found.filter(linked_away).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    repeated = found.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
+    if repeated.isEmpty():
+        return left
+    repeated = stage(repeated)
+    same = docs["doc_id"].cast("long").eqNullSafe(repeated["_id"])
+    return left.join(repeated, same, "left_anti").unionByName(
+        left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    )
