@@ -8,7 +8,7 @@ by bucket until the buckets are strings of ``length`` bytes:
    mostly share it and travel as one run (about one row for 35 bytes). Runs are dealt by bucket and sorted.
 2. Within a bucket, runs are sorted by the bucket identifiers of their later offsets (the three that cover the run's
    bytes). Runs with equal identifiers are equal strings: all but the first repeat. A bucket with one string is done.
-3. Only runs that meet different strings in their bucket are refined to single starts: the identifiers of 64 bytes, got
+3. Only runs that meet different strings in their bucket, or hold its q-gram twice (periodic text), are refined to single starts: the identifiers of 64 bytes, got
    from those of 32, are used again at two offsets to name ``length`` bytes; starts are sorted by that name.
 
 Identifiers are 64-bit hashes of the bytes; a start is named by 128 bits. A hot bucket holds one row per run of the
@@ -38,6 +38,7 @@ RUN = LENGTH - Q + 1  #: q-grams in a string, and starts in a run at most
 HALF = 64  #: bytes of the longest identifiers; two of them name LENGTH bytes, three the bytes of a run
 PIECE = 1 << 19  #: bytes hashed at a time
 NO_ID = -(2**63)
+OWN = 128  #: added to the number of starts of a run in which starts can be equal
 BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,13 +74,23 @@ def least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def runs_of(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, identifier of the covered bytes, first start and number of starts of every run in a row of texts."""
+def periodic(key: np.ndarray, bucket: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the bucket's q-gram stands twice in the strings of a run, so that starts of the run can be equal."""
+    wide = 2 * RUN - 1
+    near = np.lib.stride_tricks.sliding_window_view(np.concatenate([key, np.zeros(wide, np.uint64)]), wide)[first]
+    found = (near == bucket[first][:, None]) & (np.arange(wide) < (n + RUN - 1)[:, None])
+    return found.sum(1) > 1
+
+
+def runs_of(data: bytes, ends: list[int]) -> tuple[np.ndarray, ...]:
+    """Bucket, identifier of the covered bytes, first start and number of starts of every run in a row of texts, and
+    whether starts inside the run can be equal."""
     if len(data) < LENGTH:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     short, long = identifiers(data)
-    bucket = least(mixed(short), RUN)
+    key = mixed(short)
+    bucket = least(key, RUN)
     whole, begin = np.zeros(len(bucket), bool), 0
     for end in ends:
         if end - begin >= LENGTH:
@@ -92,7 +103,7 @@ def runs_of(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.nd
     first = np.flatnonzero(whole & differs)
     if not len(first):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     stop = np.empty(len(bucket), bool)
     stop[-1] = True
     stop[:-1] = differs[1:] | ~whole[1:]
@@ -107,7 +118,8 @@ def runs_of(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.nd
     far = size - HALF
     name = mixed(long[first]) * ODD + mixed(long[first + far // 2])
     name = mixed(name) * ODD + mixed(long[first + far]) + size.astype(np.uint64)
-    return bucket[first].view(np.int64), mixed(name).view(np.int64), first, n
+    own = periodic(key, bucket, first, n)
+    return bucket[first].view(np.int64), mixed(name).view(np.int64), first, n, own
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
@@ -147,14 +159,14 @@ def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
         for data, held in chunks(texts):
             offsets = np.array([h[1] for h in held], np.int64)
-            bucket, name, first, n = runs_of(data, [*offsets[1:].tolist(), len(data)])
+            bucket, name, first, n, own = runs_of(data, [*offsets[1:].tolist(), len(data)])
             if not len(first):
                 continue
             which = np.searchsorted(offsets, first, "right") - 1
             index = np.array([h[0] for h in held], np.int64)[which]
             start = first - offsets[which] + np.array([h[2] for h in held], np.int64)[which]
             yield pa.RecordBatch.from_arrays(
-                [longs(bucket), longs(name), pa.array(ids[index]), pa.array(twins[index]), longs(packed(start, n))],
+                [longs(bucket), longs(name), pa.array(ids[index]), pa.array(twins[index]), longs(packed(start, n + OWN * own))],
                 schema=RUN_ARROW,
             )
 
@@ -173,7 +185,8 @@ def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by bucket, name, document and start: the repeats, and the first runs of buckets with several names."""
+    """Runs sorted by bucket, name, document and start: the repeats, and what stays open: the first runs of buckets with
+    several names, and first runs that can repeat in themselves."""
     last: tuple | None = None  # the row before
     head: tuple | None = None  # the first run of the last name, and whether it was given out
     for batch in batches:
@@ -188,16 +201,18 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_name[0], same_row[0] = True, False
         last = tuple(c[-1] for c in rows)
         again = np.flatnonzero(~new_name & ~same_row)
+        own, span = (span & OWN) > 0, span & ~OWN
         first = np.flatnonzero(new_name)
-        b, d, t, s = bucket[first], doc[first], twin[first], span[first]
+        b, d, t, s, o = bucket[first], doc[first], twin[first], span[first], own[first]
         given = np.zeros(len(first), bool)
         if head:
             b, d = np.concatenate([[head[0]], b]), np.concatenate([[head[1]], d])
             t = np.concatenate([[head[2]], t]).astype(np.int32)
             s, given = np.concatenate([[head[3]], s]), np.concatenate([[head[4]], given])
+            o = np.concatenate([[False], o])
         if len(b):
             near = b[1:] == b[:-1]
-            several = np.zeros(len(b), bool)
+            several = o.copy()
             several[1:] |= near
             several[:-1] |= near
             out = several & ~given

@@ -39,6 +39,8 @@ def texts(seed):
     rows += [(100 + i, rows[i][1]) for i in range(5)]
     rows += [(200, ""), (201, None), (202, "a" * 1000), (203, "ab" * 700 + "a" * 300), (204, "a" * 99), (205, " " * 100)]
     rows += [(None, rows[3][1]), (300, "".join(shared) * 3)]
+    for k, unit in enumerate(["hetiwh ", "are ", "ç ", "ab", "x" * 40 + "y", "0123456789" * 5]):
+        rows += [(310 + 2 * k + j, f"{say(r.randint(5, 40))} {unit * r.randint(110 // len(unit) + 1, 110 // len(unit) + 20)} {say(30)}") for j in (0, 1)]
     return rows
 
 
@@ -61,6 +63,13 @@ def test_equals_all_strings(spark, monkeypatch, piece):
         assert kept[doc].n_chars == (None if text is None else len(want_text))
 
 
+def test_given_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in df.collect()])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digests(df).collect()}
+    assert got == {i: w[:4] for i, w in want.items()}
+
+
 def test_repeated_rows_and_ids(spark):
     long = "".join(chr(97 + i * i % 26) + str(i) for i in range(90))
     rows = [(1, long), (1, long), (1, "other " + long), (2, long)]
@@ -81,7 +90,7 @@ def test_empty_table(spark):
 def test_runs_hold_every_start_once(docs):
     data = [d.encode() for d in docs]
     ends = pd.Series([len(d) for d in data]).cumsum().tolist()
-    bucket, name, first, n = repeats.runs_of(b"".join(data), ends)
+    bucket, name, first, n, _ = repeats.runs_of(b"".join(data), ends)
     starts = [p for f, k in zip(first, n) for p in range(f, f + k)]
     begins = [0, *ends[:-1]]
     assert starts == [p for b, e in zip(begins, ends) for p in range(b, e - 99)]
