@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarte.functions import codes
@@ -438,10 +439,22 @@ def clock_offset(spark, sf):
     return rows.groupBy("user_id").agg(best["off"].alias("offset_ns"), best["rtt"].alias("rtt_ns"))
 
 
-@query("rolling_buffer", sql("SELECT user_id, idx, rank FROM (SELECT user_id, idx, row_number() OVER (PARTITION BY user_id ORDER BY signal_ts DESC, idx DESC) AS rank FROM signals) WHERE rank <= 50", "signals"))
+@query(
+    "rolling_buffer",
+    sql(
+        "SELECT 'signals' AS buffer, match_id::BIGINT AS match_id, idx, rank FROM (SELECT match_id, idx, row_number() OVER (PARTITION BY match_id ORDER BY signal_ts DESC, idx DESC) AS rank FROM signals) WHERE rank <= 50 "
+        "UNION ALL SELECT 'log', NULL, event_id, rank FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 200",
+        "signals",
+    ),
+)
 def rolling_buffer(spark, sf):
-    rows = mt.last_n(src.signals(spark, sf), ["user_id"], [F.desc("signal_ts"), F.desc("idx")], 50)
-    return rows.select("user_id", "idx", big("rank").alias("rank"))
+    """Last 50 signals since the start of each match, and the last 200 log lines of all."""
+    rows = mt.last_n(src.signals(spark, sf), ["match_id"], [F.desc("signal_ts"), F.desc("idx")], 50)
+    rows = rows.select(F.lit("signals").alias("buffer"), big("match_id").alias("match_id"), "idx", big("rank").alias("rank"))
+    latest = events(spark, sf).orderBy(F.desc("ts"), F.desc("event_id")).limit(200)
+    order = Window.partitionBy("buffer").orderBy(F.desc("ts"), F.desc("event_id"))
+    log = latest.withColumn("buffer", F.lit("log")).withColumn("rank", F.row_number().over(order))
+    return rows.unionByName(log.select("buffer", F.lit(None).cast("long").alias("match_id"), F.col("event_id").alias("idx"), big("rank").alias("rank")))
 
 
 @query(
