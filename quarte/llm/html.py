@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quarte.llm.common import join_small, longs, stage
 
+LONGEST = 4000  #: characters of a path; elements nested deeper belong to the container around them
 TOP = 1  #: containers of a page that get its vote
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -114,16 +116,27 @@ class Page:
 
     def read(self, html: str) -> None:
         stack: list[tuple[str, int, str, bool, bool]] = []  # tag, container, path, left out, only headings
-        container, path, out, headings, link, at = 0, "", False, False, 0, 0
+        open_: Counter[str] = Counter()  # elements on the stack by tag
+
+        def cut(k: int) -> None:
+            for s in stack[k:]:
+                open_[s[0]] -= 1
+            del stack[k:]
+
+        container, path, out, headings, at = 0, "", False, False, 0
+        # beyond the last end of a tag there is only text, or a comment that nothing closes
+        tail = html.rfind(">") + 1
+        gone = html.find("<!--", tail)
+        html = html if gone < 0 else html[:gone]
         while True:
-            m = TOKEN.search(html, at)
+            m = TOKEN.search(html, at, tail) if at < tail else None
             if at < (m.start() if m else len(html)):
                 text = html[at : m.start() if m else len(html)]
-                if out or (headings and not any(s[0] in HEADING for s in stack)):
+                if out or (headings and not any(open_[h] for h in HEADING)):
                     self.waste[container] += len(text)
                 else:
                     self.words.append(text)
-                    if link:
+                    if open_["a"]:
                         self.linked += len(text.strip())
             if not m:
                 break
@@ -132,13 +145,13 @@ class Page:
             if not tag:
                 continue
             if m[1] or m[4]:  # closing
-                if tag == "br" or tag == "p" and not any(s[0] == "p" for s in stack):
+                if tag == "br" or tag == "p" and not open_["p"]:
                     self.words.append(" ")
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1 if open_[tag] else -1, -1, -1):
                     if stack[k][0] == tag:
                         if any(s[0] in BLOCK for s in stack[k:]):
                             self.close_block(container)
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "body", "html"):
                         break
@@ -148,10 +161,10 @@ class Page:
                     which, until = CLOSES.get(tag, (set(), set()))
                     if tag in ENDS_P and tag != "li":
                         which, until = which | {"p"}, until or CLOSES["p"][1]
-                    for k in range(len(stack) - 1, -1, -1):
+                    for k in range(len(stack) - 1 if any(open_[w] for w in which) else -1, -1, -1):
                         if stack[k][0] in which:
                             self.close_block(container)
-                            del stack[k:]
+                            cut(k)
                             break
                         if stack[k][0] in until:
                             break
@@ -163,25 +176,25 @@ class Page:
                     container, path, out, headings = stack[-1][1:] if stack else (0, "", False, False)
                     continue
                 container, path, out, headings = stack[-1][1:] if stack else (0, "", False, False)
-                in_article = any(s[0] in ("article", "main") for s in stack)
-                gone, step = dropped(tag, attrs, in_article)
+                left_out, step = dropped(tag, attrs, bool(open_["article"] or open_["main"]))
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                     at = end.end() if end else len(html)
                     continue
-                if tag in BLOCK:
+                near = len(path) < LONGEST
+                if tag in BLOCK and near:
                     path = f"{path}>{step}" if path else step
-                out = out or gone
+                out = out or left_out
                 headings = headings or tag == "header"
-                if tag in CONTAINER and not out:
+                if tag in CONTAINER and not out and near:
                     self.paths.append(path)
                     self.parents.append(container)
                     self.tags.append(tag)
                     self.waste.append(0)
                     container = len(self.paths) - 1
                 stack.append((tag, container, path, out, headings))
+                open_[tag] += 1
             container, path, out, headings = stack[-1][1:] if stack else (0, "", False, False)
-            link = sum(s[0] == "a" for s in stack)
         self.close_block(container)
 
     def scored(self) -> list[tuple[float, int]]:

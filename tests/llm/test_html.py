@@ -27,6 +27,19 @@ def test_odd_pages_do_not_fail(text):
     Page(text).text("body")
 
 
+@pytest.mark.parametrize("part", ["<b>", "<a ", "<p>", "<li>", "<", "<div class='x'>", "<a href=\"", "</div>", "<!-- x "])
+def test_long_odd_pages_take_time_in_proportion(part):
+    import time
+
+    began = time.process_time()
+    Page(part * 20000 + "end").text(None)
+    assert time.process_time() - began < 10
+
+
+def test_unclosed_comment_goes():
+    assert Page("<p>one</p>two<!-- three").text(None) == "one\ntwo"
+
+
 def test_unclosed_and_entities():
     page = "<html><body><nav>menu</nav><article><h1>H</h1><p><b>One.<br><p>Two &amp; &eacute;</article><footer>f</footer>"
     assert Page(page).text(None) == "H\nOne.\nTwo & é"
