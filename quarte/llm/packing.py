@@ -28,6 +28,7 @@ from quarte.llm.tokens import TOKENIZER, groups, words
 
 CAPACITY = 4096
 BLOCK = 2048  #: pieces in a block, on average
+NO_ID = -(2**63)
 
 
 def spread(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +122,7 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with their sequence (numbered from 0 without gaps) and the offset in it."""
-    cut = stage(pieces(docs, tokenizer, capacity))
+    cut = stage(pieces(docs, tokenizer, capacity).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
     n_blocks = max(1, -(-cut.count() // BLOCK))
     dealt = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))
 
@@ -138,6 +139,6 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY)
     base = before(blocks, "hundred", ["block"], "windows", "base").select("block", "base")
     out = packed.join(base, "block")
     return out.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens",
         (F.col("base") + F.col("window")).alias("sequence_id"), "offset",
     )
