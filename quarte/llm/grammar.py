@@ -1,9 +1,9 @@
 """Token ids stored under Re-Pair grammars, one per shard, with random access.
 
 Documents are dealt by ranges of doc_id and cut into shards of about ``SHARD`` ids. In a shard frequent pairs of
-neighbouring symbols are replaced by new symbols, again and again: each round counts all pairs, gives every pair that
-stands at least ``LEAST`` times a rank by its count, replaces where a pair outranks the pairs that overlap it, and adds
-a rule for each pair replaced often enough. It ends when a round shortens the sequence by less than ``GAIN``.
+neighbouring symbols are replaced by new symbols, again and again: each round counts all pairs, ranks those that stand
+at least ``LEAST`` times by their count, replaces where a pair outranks the pairs that overlap it, and adds a rule for
+each pair replaced often enough. It ends when a round shortens the sequence by less than ``GAIN``.
 
 A shard is stored as one binary record: header, doc ids, ids per document, rules (two symbols each), expansion lengths
 of the rules, and the remaining symbols. The lengths summed over the symbols tell which symbols hold a range of ids, so
@@ -28,51 +28,56 @@ from quarte.llm.common import blobs, longs, parts, stage
 from quarte.llm.running import before
 from quarte.llm.tokens import TOKENIZER, groups, words
 
-SHARD = 1 << 20  #: ids in a shard, but for a longer last document
+SHARD = 1 << 18  #: ids in a shard, but for a longer last document
 LEAST = 4  #: times that a pair must be replaced
-GAIN = 0.02  #: share of the sequence that a further round must save
+GAIN = 0.03  #: share of the sequence that a further round must save
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIQQQQ")  #: magic, first new symbol, documents, ids, rules, symbols
 NO_ID = -(2**63)
 
 
+def winners(rank: np.ndarray) -> np.ndarray:
+    """Places that outrank both neighbours; in a stretch of one rank that outranks what is around it, every other place.
+
+    Equal neighbours are a symbol repeated, or pairs that share a slot; either way places taken never touch."""
+    around = np.concatenate([[0], rank, [0]])
+    single = np.flatnonzero((rank > around[:-2]) & (rank > around[2:]))
+    equal = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] > 0))
+    if not len(equal):
+        return single
+    first = np.concatenate([[True], np.diff(equal) > 1])
+    start = equal[first]
+    size = np.diff(np.append(np.flatnonzero(first), len(equal))) + 1
+    top = (around[start] < rank[start]) & (around[start + size + 1] < rank[start])
+    start, half = start[top], (size[top] + 1) // 2
+    inside = np.repeat(start - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(half.sum())
+    return np.concatenate([single, inside])
+
+
 def replace_round(seq: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray]:
-    """One round over a sequence: the shorter sequence and the pairs behind its new symbols."""
+    """One round over a sequence: the shorter sequence and the pairs behind its new symbols.
+
+    Pairs are counted in hashed slots, which sets the ranks; the pairs at the places taken are then counted exactly."""
     none = np.zeros((0, 2), np.uint32)
     if len(seq) < 2:
         return seq, none
-    key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    order = np.argsort(key)
-    ordered = key[order]
-    start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    times = np.diff(np.append(start, len(key)))
-    often = np.flatnonzero(times >= LEAST)
-    if not len(often):
-        return seq, none
-    # rank 1.. of the frequent pairs by count, ties by pair; 0 for the others
-    rank = np.zeros(len(times), np.int64)
-    rank[often[np.argsort(times[often], kind="stable")]] = np.arange(1, len(often) + 1)
-    at = np.empty(len(key), np.int64)
-    at[order] = np.repeat(rank, times)
-    # stretches of one rank are a symbol repeated: every other place can be replaced
-    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    size = np.diff(np.append(edge, len(at)))
-    height = at[edge]
-    wins = (height > np.append(0, height[:-1])) & (height > np.append(height[1:], 0))
-    edge, size = edge[wins], (size[wins] + 1) // 2
-    place = np.repeat(edge - 2 * (np.cumsum(size) - size), size) + 2 * np.arange(size.sum())
-    used = np.bincount(at[place], minlength=len(often) + 1)
-    place = place[used[at[place]] >= LEAST]
+    a, b = seq[:-1], seq[1:]
+    bits = max(8, len(a).bit_length())
+    slot = ((a * np.uint32(0x9E3779B1)) ^ ((b * np.uint32(0x85EBCA6B)) >> np.uint32(7)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+    times = np.bincount(slot, minlength=1 << bits)
+    order = np.where(times >= LEAST, (times << bits) | np.arange(1 << bits), 0)
+    place = winners(order[slot])
+    key = (a[place].astype(np.uint64) << np.uint64(32)) | b[place]
+    pair, at, used = np.unique(key, return_inverse=True, return_counts=True)
+    often = used >= LEAST
+    place, at = place[often[at]], at[often[at]]
     if not len(place):
         return seq, none
-    kept = np.flatnonzero(used >= LEAST)
-    symbol = np.zeros(len(used), np.uint32)
-    symbol[kept] = first_new + np.arange(len(kept))
-    pair_of = np.empty(len(often) + 1, np.uint64)
-    pair_of[rank[often]] = ordered[start[often]]
-    rules = np.stack([pair_of[kept] >> np.uint64(32), pair_of[kept] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+    symbol = (first_new + np.cumsum(often) - 1).astype(np.uint32)
+    pair = pair[often]
+    rules = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
     out = seq.copy()
-    out[place] = symbol[at[place]]
+    out[place] = symbol[at]
     stay = np.ones(len(seq), bool)
     stay[place + 1] = False
     return out[stay], rules
@@ -139,6 +144,9 @@ class Shard:
         self.upto = np.cumsum(lengths_of(self.symbols, size.astype(np.int64), self.first_new))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def all(self) -> np.ndarray:
+        return expand(self.symbols, self.rules, self.first_new)
+
     def ids(self, start: int, n: int) -> np.ndarray:
         if not n:
             return np.zeros(0, np.uint32)
@@ -181,16 +189,22 @@ def shards(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def read_back(stored: DataFrame) -> DataFrame:
     """Per document of stored shards: doc_id, start among all ids, n_tokens, ids_crc32 of the decoded ids."""
-    placed = before(stored.select("part", "number", "n_ids"), "part", ["number"], "n_ids", "base").drop("n_ids")
-    rows = stored.join(placed, ["part", "number"]).select("record", "base")
+    base = before(stored.select("part", "number", "n_ids"), "part", ["number"], "n_ids", "base").drop("n_ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for record, base in zip(batch.column("record"), batch.column("base").to_pylist(), strict=True):
+            for k, record in enumerate(batch.column("record")):
                 s = Shard(record.as_py())
-                crc = [zlib.crc32(s.ids(a, n).astype("<u4").tobytes()) for a, n in zip(s.starts.tolist(), s.sizes.tolist(), strict=True)]
-                cols = [longs(s.doc_ids), longs(s.starts + base), longs(s.sizes), longs(crc)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    out = rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+                raw = s.all().astype("<u4").tobytes()
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(s.starts.tolist(), s.sizes.tolist(), strict=True)]
+                own = [pa.repeat(batch.column(c)[k], len(crc)) for c in ("part", "number")]
+                cols = [*own, longs(s.doc_ids), longs(s.starts), longs(s.sizes), longs(crc)]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "number", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    rows = stored.select("part", "number", "record").mapInArrow(
+        decode, "part int, number int, doc_id long, start long, n_tokens long, ids_crc32 long"
+    )
+    out = rows.join(base, ["part", "number"])
+    return out.select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"
+    )

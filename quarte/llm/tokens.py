@@ -104,7 +104,7 @@ class Words:
     def learn(self) -> None:
         """Ids of the words noted as new, in the order of their numbers."""
         words = [w.decode() for w in self.place.noted()]
-        cut = [SPLIT.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        cut = [SPLIT.findall(w.lower()) if (w.isascii() or PLAIN.fullmatch(w)) and "<|" not in w else None for w in words]
         parts = [p for ps in cut if ps for p in ps]
         at = self.part.of(parts)
         self.learn_parts()
