@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 
 from quarte.llm.common import blobs, longs
 from quarte.llm.ppm import Lookup
-from quarte.llm.tokens import groups, tokenizer_path
+from quarte.llm.tokens import Places, Runs, groups, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()
 GAP = b"\xff"  #: never in UTF-8; keeps words apart in the index
 WORDS = 8  #: eight-byte steps that bisection compares, 64 bytes
-CACHE = 300_000
+CACHE = 1_000_000  #: words whose ids are kept at most
+INDEXED = 1 << 19  #: bytes of words that one suffix array holds, but for a longer word
 NORMAL, BYTE = 1, 6
 FAR = np.int64(1 << 40)
 
@@ -179,7 +180,7 @@ class Encoder:
         self.low, self.high = strings(self.model.raw, b"\0"), strings(self.model.raw, b"\xff")
         self.depth = int(self.model.length.max())
         self.single = {p.encode() for p in self.model.one}
-        self.known: dict[bytes, list[int]] = {}
+        self.place, self.of_word = Places(), Runs()
 
     def edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, end and piece of every occurrence of a piece, sorted by the end."""
@@ -206,7 +207,8 @@ class Encoder:
         lone = ~has[starts]
         return starts[lone], starts[lone] + size[lone], np.full(lone.sum(), self.model.size)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words in a row, and the number of ids of each."""
         size = np.array([len(w) for w in words])
         start = np.cumsum(size + 1) - size - 1
         data = np.frombuffer(GAP.join(words) + GAP, np.uint8)
@@ -226,28 +228,41 @@ class Encoder:
                 key, which = np.unique(taken[s[inner]] * (self.model.size + 1) + p[inner], return_inverse=True)
                 ok[inner] = self.model.stand(key // (self.model.size + 1), key % (self.model.size + 1))[which]
             taken[e[ok]], back[e[ok]] = p[ok], s[ok]
-        at, out = start + size, [[] for _ in words]
-        live = np.flatnonzero(size > 0)
+        return self.followed_back(data, start, start + size, taken, back)
+
+    def followed_back(self, data: np.ndarray, start: np.ndarray, at: np.ndarray, taken: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and the number of ids of each, from the edges taken at every place."""
+        live, found = np.flatnonzero(at > start), []
         while len(live):
             here = at[live]
-            for w, p, s, e in zip(live.tolist(), taken[here].tolist(), back[here].tolist(), here.tolist()):
-                if p == self.model.size:
-                    out[w].extend(self.model.byte_id[data[s:e][::-1]].tolist())
-                else:
-                    out[w].append(p)
+            found.append((live, taken[here], back[here]))
             at[live] = back[here]
             live = live[at[live] > start[live]]
-        for w, ids in zip(words, out, strict=True):
-            self.known[w] = ids[::-1]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        step = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        word, piece, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-step, word))
+        word, piece, begin = word[order], piece[order], begin[order]
+        lone = piece == self.model.size
+        n = np.ones(len(piece), np.int64)
+        lead = data[begin[lone]]
+        n[lone] = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+        ids = np.repeat(piece, n)
+        byte = np.repeat(lone, n)
+        place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(ids))
+        ids[byte] = self.model.byte_id[data[place[byte]]]
+        return ids.astype(np.uint32), np.bincount(word, n, len(start)).astype(np.int64)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text."""
         cut = [split(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = {w for words in cut for w in words}.difference(self.known)
-        if new:
-            self.learn(list(new))
-        return [np.array([i for w in words for i in self.known[w]], np.int64) for words in cut]
+        if len(self.place) > CACHE:
+            self.place, self.of_word = Places(), Runs()
+        at = self.place.of([w for words in cut for w in words])
+        new = self.place.noted()
+        for some in groups(new, INDEXED):
+            self.of_word.add(*self.learn(new[some]))
+        ids, upto = self.of_word(at)
+        return ids, np.diff(upto[np.cumsum([0, *map(len, cut)])])
 
 
 def spans(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -299,10 +314,9 @@ def encoded(docs: DataFrame, name: str = MODEL) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = blobs(batch.column("text"))
-            for piece in groups(texts, 1 << 23):
-                ids = encoder(name).encode(texts[piece])
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
-                ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            for piece in groups(texts, 1 << 22):
+                ids, n = encoder(name).encode(texts[piece])
+                flat, ends = pa.array(ids.astype(np.int32)), pa.array(np.cumsum([0, *n]), pa.int32())
                 own = batch.column("doc_id").slice(piece.start, piece.stop - piece.start)
                 yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
 
