@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarte.session import stage
 
-__all__ = ["blobs", "free", "join_small", "keyed", "longs", "parts", "stage", "table", "unstage"]
+__all__ = ["blobs", "for_lanes", "free", "in_lanes", "join_small", "keyed", "longs", "parts", "stage", "table", "unstage"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +47,21 @@ def free(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def join_small(rows: DataFrame, small: DataFrame, on: str, lanes: int = 32) -> DataFrame:
-    """Left join with a table of one row per key, so that a hot key is dealt over several tasks if it comes to a shuffle."""
-    lane = F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).alias("_lane")
-    spread = small.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    return rows.select("*", lane).join(spread, [on, "_lane"], "left").drop("_lane")
+LANES = 32  #: tasks that a hot key of a join with a small table is dealt over
+
+
+def in_lanes(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.pmod(F.monotonically_increasing_id(), F.lit(LANES)).alias("_lane"))
+
+
+def for_lanes(small: DataFrame) -> DataFrame:
+    lanes = F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))
+    return small.select("*", F.explode(lanes).alias("_lane"))
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Join with a table of few rows per key, so that a hot key is dealt over several tasks if it comes to a shuffle."""
+    return in_lanes(rows).join(for_lanes(small), [on, "_lane"], how).drop("_lane")
 
 
 def unstage(*tables: DataFrame) -> None:

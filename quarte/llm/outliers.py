@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from quarte.llm.common import blobs, longs, stage
+from quarte.llm.common import blobs, for_lanes, in_lanes, join_small, longs, stage
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -149,9 +149,10 @@ def groups(rows: DataFrame, rules: McdRules) -> DataFrame:
 
 def attach(rows: DataFrame, small: DataFrame) -> DataFrame:
     """Give every row what its language and source have; missing values match each other."""
-    other = small.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    rows, other = in_lanes(rows), for_lanes(small.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
     on = rows["lang"].eqNullSafe(other["_lang"]) & rows["source"].eqNullSafe(other["_source"])
-    return rows.join(other, on, "left").drop("_lang", "_source")
+    on &= rows["_lane"] == other["_lane"]
+    return rows.join(other, on, "left").drop("_lang", "_source", "_lane")
 
 
 def moments() -> list[Column]:
@@ -209,7 +210,7 @@ def starts(rows: DataFrame, rules: McdRules) -> DataFrame:
         return F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(rules.floor[i]))
 
     score = [F.tanh((F.col(f"f{i}") - F.col(f"q{i}")[1]) / spread(i)) for i in range(P)]
-    squashed = rows.join(quartiles, "grp").groupBy("grp").agg(
+    squashed = join_small(rows, quartiles, "grp", "inner").groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(score[i] * score[j]).alias(f"t{i}_{j}") for i, j in PAIRS)
     )
     both = quartiles.join(squashed, "grp").select(
@@ -243,7 +244,7 @@ def starts(rows: DataFrame, rules: McdRules) -> DataFrame:
 def concentrate(rows: DataFrame, now: DataFrame, rules: McdRules) -> DataFrame:
     """One concentration step: moments of the bins of distance that hold the nearest h rows of each group and start."""
     bin_of = F.floor(rules.bins * F.log2(F.col("d2") + 2.0**-20)).alias("bin")
-    binned = rows.join(now, "grp").withColumn("d2", distance()).groupBy("grp", "start", bin_of).agg(*moments())
+    binned = join_small(rows, now, "grp", "inner").withColumn("d2", distance()).groupBy("grp", "start", bin_of).agg(*moments())
     each = W.Window.partitionBy("grp", "start")
     upto = F.sum("n").over(each.orderBy("bin").rowsBetween(W.Window.unboundedPreceding, 0))
     near = binned.withColumns({"upto": upto, "size": F.sum("n").over(each)})
@@ -264,7 +265,7 @@ def fit(rows: DataFrame, rules: McdRules | None = None) -> DataFrame:
         now = stage(concentrate(fitted, now, rules))
     best = now.groupBy("grp").agg(F.min_by(F.struct("mean", "inv"), F.struct("logdet", "start")).alias("b"))
     best = best.select("grp", "b.mean", "b.inv", F.lit(0).alias("start"))
-    inside = fitted.join(best, "grp").filter(distance() <= chi2_quantile(rules.reweight, P))
+    inside = join_small(fitted, best, "grp", "inner").filter(distance() <= chi2_quantile(rules.reweight, P))
     final = estimates(inside.groupBy("grp", "start").agg(*moments()), consistency(rules.reweight), rules)
     return stage(named.join(final.select("grp", "mean", "inv"), "grp", "left"))
 
