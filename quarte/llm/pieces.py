@@ -32,7 +32,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()
 GAP = b"\xff"  #: never in UTF-8; keeps words apart in the index
 WORDS = 8  #: eight-byte steps that bisection compares, 64 bytes
-CACHE = 1_000_000  #: words whose ids are kept at most
+CACHE = 500_000  #: words whose ids are kept at most
 INDEXED = 1 << 19  #: bytes of words that one suffix array holds, but for a longer word
 NORMAL, BYTE = 1, 6
 FAR = np.int64(1 << 40)

@@ -15,7 +15,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-CACHE, PARTS = 1_200_000, 800_000  #: words, and parts of words, kept at most
+CACHE, PARTS = 500_000, 400_000  #: words, and parts of words, kept at most
 TOGETHER = 4096  #: parts that the library gets as one text
 #: The split pattern of the tokenizer file, for lower-cased ASCII and Latin-1 letters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
