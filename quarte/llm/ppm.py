@@ -32,7 +32,8 @@ from quarte.llm.jaccard import word_hashes
 
 ORDER = 5
 FOLDS, HELD = 7, 2
-BATCH = 1 << 25  #: bytes of text in a batch, about
+BATCH = 1 << 24  #: bytes of text in a batch, about
+ROWS = 256  #: texts of a batch held as Python objects at a time
 PIECE = 1 << 20
 SYMBOLS, END = 257, 256
 GRAM, WORD = 0, 1
@@ -90,7 +91,7 @@ class Tally:
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
-        if self.size > 1 << 22:
+        if self.size > 1 << 20:
             key, n = self.all()
             self.keys, self.counts, self.size = [key], [n], len(key) // 2
 
@@ -116,7 +117,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cols = [pa.array(np.full(len(k), now, np.int32)), pa.array(np.full(len(k), kind, np.int32)), longs(k), longs(m)]
                 yield pa.RecordBatch.from_arrays(cols, names=["batch", "kind", "key", "n"])
 
-    for rows in batches:
+    for rows in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         which = rows.column("batch").to_numpy()
         learn, texts = rows.column("learn").to_numpy(zero_copy_only=False), [read_as(t) for t in blobs(rows.column("text"))]
         edge = np.flatnonzero(np.diff(which, prepend=-1)).tolist() + [len(which)]
