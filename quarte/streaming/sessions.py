@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarte.operators import asof, tracking
-from quarte.session import checkpoint_dir
+from quarte.session import checkpoint_dir, shared_path
 
 
-SLICES = 8  #: stretches of time that a stored table is replayed in
+SLICES = 8  #: stretches of time that a stored table is replayed in, at least
+SLICE_ROWS = 4_000_000  #: rows of a stretch, about
+SLICE, FILE, FILLER = "quarte_slice", "quarte_file", "quarte_filler"  #: columns of stored slices
 BEYOND = "INTERVAL 3650 DAYS"  #: how far after the last row the end of input is stamped
 
 
@@ -35,22 +37,38 @@ def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int =
 def replay(rows: DataFrame, time: str, key: str, files_per_trigger: int = 64, slices: int | None = None) -> DataFrame:
     """Stored rows as a stream in event time, with an end.
 
-    Rows are written to the shared folder slice by slice of their time, so that file order is time order whatever the
-    order of the table's own files; rows of a key in a slice share a file. One last row, all NULL but for a time far
-    beyond the others, moves the watermark past everything: open sessions and unmatched rows come out. Rows without a
-    time come with the first slice."""
+    Rows are dealt into slices of their time, about ``SLICE_ROWS`` each, and written to the shared folder slice by slice,
+    so that file order is time order whatever the order of the table's own files. Every slice has the same number of files,
+    rows of a key share one, and a trigger takes just that many: a batch is one whole slice, so no row comes after the
+    watermark of its own slice. One row per file, marked and left out on reading, keeps files from being empty and thus
+    unwritten. One last row, all NULL but for a time far beyond the others, moves the watermark past everything: open
+    sessions and unmatched rows come out. Rows without a time come with the first slice."""
     spark = rows.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quarte-replay-{uuid.uuid4().hex}"
+    shelf, path = shared_path(spark, "slices"), shared_path(spark, "replay")
+    files = max(1, min(files_per_trigger, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     stamp = F.unix_micros(F.col(time).cast("timestamp"))
-    slices = slices or SLICES
-    marks = rows.select(stamp.alias("_t")).agg(F.percentile_approx("_t", [i / slices for i in range(1, slices)], 10000)).first()[0]
-    at = sum((F.coalesce((stamp > m).cast("int"), F.lit(0)) for m in sorted(set(marks or []))), F.lit(0))
-    for k in range(len(set(marks or [])) + 1):
-        rows.filter(at == k).repartition(key).write.mode("append").parquet(path)
+    slices = slices or max(SLICES, -(-rows.count() // SLICE_ROWS))
+    shares = [i / slices for i in range(1, slices)]
+    marks = rows.select(stamp.alias("_t")).agg(F.percentile_approx("_t", shares, max(10000, 10 * slices))).first()[0] if shares else None
+    marks = sorted(set(marks or []))
+    at = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < stamp)) if marks else F.lit(0)
+    deal = F.pmod(F.hash(key), F.lit(files))
+    dealt = rows.withColumns({SLICE: at, FILE: deal, FILLER: F.lit(False)})
+    filler = spark.range((len(marks) + 1) * files).select(
+        F.expr(f"int(id div {files})").alias(SLICE), F.expr(f"int(id % {files})").alias(FILE), F.lit(True).alias(FILLER)
+    )
+    # on a shelf first, so that the table is read once and not for every slice
+    dealt.unionByName(filler, allowMissingColumns=True).repartition(SLICE, FILE).write.partitionBy(SLICE).parquet(shelf)
+    shape = dealt.drop(SLICE).schema
+    for k in range(len(marks) + 1):
+        part = spark.read.schema(shape).parquet(f"{shelf}/{SLICE}={k}")
+        part.repartition(files, FILE).write.mode("append").partitionBy(FILE).parquet(path)
     end = rows.agg(F.max(time).alias("_end")).filter("_end IS NOT NULL")
     last = [F.expr(f"_end + {BEYOND}") if c == time else F.lit(None) for c in rows.columns]
-    end.select(*(e.cast(rows.schema[c].dataType).alias(c) for e, c in zip(last, rows.columns))).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    end = end.select(*(e.cast(rows.schema[c].dataType).alias(c) for e, c in zip(last, rows.columns)), F.lit(0).alias(FILE), F.lit(False).alias(FILLER))
+    end.write.mode("append").partitionBy(FILE).parquet(path)
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", files).parquet(path)
+    return stream.where(~F.col(FILLER)).select(*rows.columns)
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:

@@ -34,6 +34,25 @@ def test_streams_are_whole_in_any_file_order(spark, shuffled, monkeypatch, name)
     assert good and n > 0, why
 
 
+@pytest.mark.parametrize("name", ("heartbeat_stream", "signal_frame_stream"))
+def test_slices_of_several_files_lose_no_rows(spark, shuffled, monkeypatch, name):
+    """Slices far longer than the watermark's delay, whose files by shuffle are those of several triggers; late rows go from the third on."""
+    import __spark_entry__ as entry
+    from quarte.plans.check import compare, duck
+    from quarte.streaming import sessions
+
+    whole = sessions.replay
+    monkeypatch.setattr(sessions, "replay", lambda rows, time, key, files=2: whole(rows, time, key, 2, 2))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        good, why, n = compare(entry.queries()[name](spark, shuffled), duck(SF), entry.oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert good and n > 0, why
+
+
 def test_source_reads_a_file_and_a_folder(spark, shuffled):
     from quarte.streaming import sessions
 
