@@ -6,7 +6,9 @@ every page is read again at the path that won on its host. A page without that p
 its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by tag, role, class
-and id and left out everywhere. A header inside the article keeps its headings.
+and id and left out everywhere. What only a word or a form tag tells is kept where it wraps the page's largest article
+or main, or over half of the running text of a page without these (not by a name of such words alone): layouts name wrappers by what is in them
+(``has-sidebar``, ``no-comments``). A header inside the article keeps its headings.
 
 Defined results: missing or empty html gives an empty text; missing urls vote together as one host; unclosed tags end
 with the element around them, unclosed scripts and comments with the page; a page without any container is read as
@@ -55,6 +57,9 @@ DROPPED = frozenset(
     " promo promotion comment comments disqus respond reply replies share sharing social related recommended newsletter"
     " subscribe subscription signup login popup modal overlay toolbar widget pagination pager search skip hidden".split()
 )
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: what is left out by a word or as a form but may wrap the content: with other words in its name, with none, of comments
+WRAPPERS = ("wrap", "holds", "comments")
 CONTENT = frozenset("article content entry post story main text body".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -71,34 +76,40 @@ def host_of(url: str | None) -> str:
     return ((m[1] or m[2] or "") if m else "").lower()
 
 
-def dropped(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is left out with all it holds, and its step of the generalised path."""
+def dropped(tag: str, attrs: str, in_article: bool) -> tuple[bool, str, str]:
+    """Whether an element is left out with all it holds, as what it can be a wrapper for all that, and its step of the
+    generalised path."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attrs)} if attrs else {}
     classes = found.get("class", "").split()
     step = ".".join([tag, *sorted({re.sub(r"\d+", "0", c.lower()) for c in classes})])
-    if tag in SKIP:
-        return True, step
-    if tag == "header" and not in_article:
-        return True, step
-    if not found:
-        return False, step
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, step
-    if found.get("role", "").lower() in DROPPED_ROLES:
-        return True, step
-    if tag in ("body", "html", "article", "main"):
-        return False, step
+    hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
+    if hidden or found.get("role", "").lower() in DROPPED_ROLES:
+        return True, "", step
+    if tag == "form":
+        return True, "wrap", step
+    if tag in SKIP or tag == "header" and not in_article:
+        return True, "", step
+    if not found or tag in ("body", "html", "article", "main"):
+        return False, "", step
     for name in (*classes, found.get("id", "")):
         words = set(PART.findall(CAMEL.sub(" ", name).lower()))
         if words & DROPPED and not (words & CONTENT and words & DROPPED <= {"header"}):
-            return True, step
-    return False, step
+            return True, "wrap" if any(w.isalpha() for w in words - DROPPED) else "comments" if words & COMMENTS else "holds", step
+    return False, "", step
 
 
 class Page:
     """Blocks of a page in order, each with the container it lies in, and the containers as a tree."""
 
     def __init__(self, html: str) -> None:
+        self.begin()
+        self.read(html, frozenset())
+        wrappers = self.wrappers()
+        if wrappers:
+            self.begin()
+            self.read(html, wrappers)
+
+    def begin(self) -> None:
         self.paths = [""]  # of containers; 0 is the page itself
         self.parents = [-1]
         self.tags = [""]
@@ -106,7 +117,29 @@ class Page:
         self.waste = [0]  # characters left out directly below each container
         self.words: list[str] = []
         self.linked = 0
-        self.read(html)
+        self.running = 0  # characters outside links, and outside what is left out for more than a word
+        #: possible wrappers, articles and mains: kind, start, end, running text before it and up to its end
+        self.watched: list[list] = []
+
+    def wrappers(self) -> frozenset[int]:
+        """Starts of elements that a word or a form tag tells to leave out though the page's content is in them."""
+        if not any(w[0] in WRAPPERS for w in self.watched):
+            return frozenset()
+        aside = [w for w in self.watched if w[0] == "comments" and 2 * (w[4] - w[3]) <= self.running]
+        largest = []
+        for tag in ("article", "main"):
+            held = [w for w in self.watched if w[0] == tag and w[4] > w[3]]
+            held = [w for w in held if not any(a[1] < w[1] and w[2] <= a[2] for a in aside)]
+            if held:
+                largest.append(max(held, key=lambda w: (w[4] - w[3], -w[1])))
+        kept = set()
+        for kind, start, end, before, after in self.watched:
+            if kind not in WRAPPERS:
+                continue
+            inside = any(start < w[1] and w[2] <= end for w in largest)
+            if inside or kind == "wrap" and not largest and 2 * (after - before) > self.running:
+                kept.add(start)
+        return frozenset(kept)
 
     def close_block(self, container: int) -> None:
         text = " ".join(unescape("".join(self.words)).split()) if self.words else ""
@@ -114,16 +147,19 @@ class Page:
             self.blocks.append((container, text, self.linked))
         self.words, self.linked = [], 0
 
-    def read(self, html: str) -> None:
-        stack: list[tuple[str, int, str, bool, bool]] = []  # tag, container, path, left out, only headings
+    def read(self, html: str, wrappers: frozenset[int]) -> None:
+        # tag, container, path, left out, only headings, left out for more than a word, place among the watched
+        stack: list[tuple[str, int, str, bool, bool, bool, int]] = []
         open_: Counter[str] = Counter()  # elements on the stack by tag
 
         def cut(k: int) -> None:
             for s in stack[k:]:
                 open_[s[0]] -= 1
+                if s[6] >= 0:
+                    self.watched[s[6]][2::2] = [at, self.running]
             del stack[k:]
 
-        container, path, out, headings, at = 0, "", False, False, 0
+        container, path, out, headings, hard, at = 0, "", False, False, False, 0
         # beyond the last end of a tag there is only text, or a comment that nothing closes
         tail = html.rfind(">") + 1
         gone = html.find("<!--", tail)
@@ -132,6 +168,8 @@ class Page:
             m = TOKEN.search(html, at, tail) if at < tail else None
             if at < (m.start() if m else len(html)):
                 text = html[at : m.start() if m else len(html)]
+                if not hard and not open_["a"]:
+                    self.running += len(text.strip())
                 if out or (headings and not any(open_[h] for h in HEADING)):
                     self.waste[container] += len(text)
                 else:
@@ -173,10 +211,12 @@ class Page:
                 elif tag in ("br", "img"):
                     self.words.append(" ")
                 if tag in VOID or attrs.rstrip().endswith("/") and tag in RAW:
-                    container, path, out, headings = stack[-1][1:] if stack else (0, "", False, False)
+                    container, path, out, headings, hard = stack[-1][1:6] if stack else (0, "", False, False, False)
                     continue
-                container, path, out, headings = stack[-1][1:] if stack else (0, "", False, False)
-                left_out, step = dropped(tag, attrs, bool(open_["article"] or open_["main"]))
+                container, path, out, headings, hard = stack[-1][1:6] if stack else (0, "", False, False, False)
+                left_out, wrap, step = dropped(tag, attrs, bool(open_["article"] or open_["main"]))
+                if wrap and m.start() in wrappers:
+                    left_out = False
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                     at = end.end() if end else len(html)
@@ -185,6 +225,10 @@ class Page:
                 if tag in BLOCK and near:
                     path = f"{path}>{step}" if path else step
                 out = out or left_out
+                hard = hard or (left_out and not wrap)
+                kind = wrap or (tag if tag in ("article", "main") else "")
+                if kind:
+                    self.watched.append([kind, m.start(), len(html), self.running, self.running])
                 headings = headings or tag == "header"
                 if tag in CONTAINER and not out and near:
                     self.paths.append(path)
@@ -192,10 +236,12 @@ class Page:
                     self.tags.append(tag)
                     self.waste.append(0)
                     container = len(self.paths) - 1
-                stack.append((tag, container, path, out, headings))
+                stack.append((tag, container, path, out, headings, hard, len(self.watched) - 1 if kind else -1))
                 open_[tag] += 1
-            container, path, out, headings = stack[-1][1:] if stack else (0, "", False, False)
+            container, path, out, headings, hard = stack[-1][1:6] if stack else (0, "", False, False, False)
         self.close_block(container)
+        at = len(html)
+        cut(0)
 
     def scored(self) -> list[tuple[float, int]]:
         """Containers with running text, best first."""

@@ -82,3 +82,19 @@ def test_article_of_the_tables(spark):
 
 def test_empty_table(spark):
     assert html.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "with-sidebar", "no-comments", "comments-open"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_named_by_what_is_beside_keep_the_text(name, inner):
+    body = f"<{inner}><p>The first paragraph of the page, long enough.</p><p>And a second one.</p></{inner}>"
+    side = '<div class="sidebar"><p>Other pages</p></div><div id="comments"><article class="comment"><p>Nice one!</p></article></div>'
+    html = f'<body><form id="f"><div class="{name}"><div id="{name}-2">{body}</div>{side}</div></form></body>'
+    want = "The first paragraph of the page, long enough.\nAnd a second one."
+    assert Page(html).text(None) == want or inner == "div"
+    assert want in Page(html).text(None) and "Other pages" not in Page(html).text(None)
+
+
+def test_an_advert_longer_than_the_article_stays_out():
+    html = '<body><div class="ad">A rather long advert for something.</div><div class="sidebar"><article><p>Short.</p></article></div></body>'
+    assert Page(html).text(None) == "Short."
