@@ -7,7 +7,7 @@ from quarte.llm import registry
 
 MODULES = (
     "quality_queries", "jaccard_queries", "repeat_queries", "token_queries", "page_queries", "vector_queries",
-    "score_queries", "audit_queries",
+    "score_queries", "audit_queries", "search_queries", "secret_queries",
 )
 
 
