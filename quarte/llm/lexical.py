@@ -210,7 +210,7 @@ def searcher(with_terms: int, terms: int, k: int) -> Callable[[pa.Table, pa.Tabl
         out = ([], [], [])
         if rows.num_rows:
             ids = documents.column("ids").combine_chunks().flatten()
-            n = documents.column("lengths").combine_chunks().flatten().to_numpy().astype(np.int64)
+            n = documents.column("n").combine_chunks().flatten().to_numpy().astype(np.int64)
             m = 75 + 25 * n * with_terms // terms
             for item, query in queries(rows, m, with_terms, terms).items():
                 docs, scores = best(query, len(n), k)
@@ -264,7 +264,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     weight = F.floor(1000 * F.log(F.lit(2.0 * (with_terms or 0) + 2) / (2 * F.col("_df") + 1).cast("double")))
     uses = uses.join(df, "term").withColumn("weight", weight).filter("weight > 0").select("part", "term", "uses", "weight")
     rows = lists_.join(uses, "term").select("shard", "part", "weight", "uses", "df", "last", "starts", "pairs", "counts", "lengths", "body")
-    documents = held.select(F.col("shard").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("of_part"), "ids", "lengths")
+    documents = held.select(F.col("shard").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("of_part"), "ids", F.col("lengths").alias("n"))
     run = searcher(with_terms or 0, terms or 1, k)
     heaps = rows.groupBy("shard", "part").cogroup(documents.groupBy("of", "of_part")).applyInArrow(run, "item long, doc_id long, score long")
     order = W.Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
