@@ -262,7 +262,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     lists_ = index.filter("term IS NOT NULL")
     df = lists_.select("term", "df").join(uses.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("_df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * (with_terms or 0) + 2) / (2 * F.col("_df") + 1).cast("double")))
-    uses = uses.join(df, "term").withColumn("weight", weight).filter("weight > 0").select("part", "term", "uses", "weight")
+    # stored, so that Spark knows its size and can send it to the lists where it is small
+    uses = stage(uses.join(df, "term").withColumn("weight", weight).filter("weight > 0").select("part", "term", "uses", "weight"))
     rows = lists_.join(uses, "term").select("shard", "part", "weight", "uses", "df", "last", "starts", "pairs", "counts", "lengths", "body")
     documents = held.select(F.col("shard").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("of_part"), "ids", F.col("lengths").alias("n"))
     run = searcher(with_terms or 0, terms or 1, k)
