@@ -17,15 +17,20 @@ from quarte.functions import geometry as g
 from quarte.operators.motion import fill_all, gradient
 from quarte.operators.series import spread_join
 from quarte.params import ContactRules
+from quarte.session import stage
 
 SIDE = ["phrase_id", "side"]
 
 
 def around(df: DataFrame, contacts: DataFrame, before: int, after: int) -> DataFrame:
-    """Rows within [event - before, event + after], with event_frame and n."""
-    rows = spread_join(df, contacts.select("phrase_id", "event_frame", "n"), ["phrase_id"], F.col("frame"))
-    gap = F.col("frame") - F.col("event_frame")
-    return rows.where((gap >= -before) & (gap <= after))
+    """Rows within [event - before, event + after], with event_frame and n.
+
+    The frames wanted are a stored table of (phrase, frame) keys, so Spark knows its size: a small one is sent to the scan,
+    and of a large one a filter over its keys is sent ahead of the join. Either way what is shuffled follows the contacts."""
+    event = F.col("event_frame").cast(df.schema["frame"].dataType)
+    frames = F.sequence(F.greatest(event - before, F.lit(0)), event + after)
+    wanted = contacts.where("event_frame IS NOT NULL").select("phrase_id", "event_frame", "n", F.explode(frames).alias("frame"))
+    return df.join(stage(wanted), ["phrase_id", "frame"])
 
 
 def contact_motion(df: DataFrame, contacts: DataFrame, fps: float) -> DataFrame:

@@ -2,36 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarte.operators import contacts as ct
+from quarte.operators.series import number
 
 INPUTS = [f"delta_{c}" for c in ct.DELTAS] + ["front_gap", "front_gap_change", "front_velocity_gap", "stance_gap"]
 FOLDS = 5
-#: Tasks that the folds of one label are dealt in.
-LANES = 4
+#: Bits of the hash that name a chunk of a label's order; chunks are counted, and each is ranked in a task of its own.
+CHUNK_BITS = 12
 
 
 def dataset(pairs: DataFrame, winners: DataFrame) -> DataFrame:
     """Paired features with label 1 for left; incomplete phrases are left out.
 
-    ``pairs`` is a stored table of feature deltas, so the completeness test runs
-    on its columns. Folds are stratified: within a label, phrases take the folds
-    in turn by the hash of the phrase. The order runs in lanes of that hash, so
-    no task ranks a whole label."""
+    ``pairs`` is a stored table of feature deltas, so the completeness test runs on its columns. Folds are stratified:
+    within a label, phrases take the folds in turn in the order of their hash, so the folds of a label differ by one
+    phrase at most. The order is numbered from the counts of chunks of the hash, so no task ranks a whole label."""
     rows = pairs.where(" AND ".join(f"{c} IS NOT NULL" for c in INPUTS)).join(winners, "phrase_id")
     rows = rows.withColumn("label", F.when(F.col("winner") == "left", 1.0).otherwise(0.0))
-    code = F.xxhash64("phrase_id")
-    turn = F.row_number().over(Window.partitionBy("label", "_lane").orderBy(code, "phrase_id"))
-    rows = rows.withColumn("_lane", F.pmod(F.shiftright(code, 20), F.lit(LANES)))
-    return rows.withColumn("fold", F.pmod(turn + F.col("_lane"), F.lit(FOLDS)).cast("int")).drop("_lane")
+    rows = rows.withColumn("_code", F.xxhash64("phrase_id")).withColumn("_chunk", F.shiftright("_code", 64 - CHUNK_BITS))
+    rows = number(rows, ["label"], "_chunk", ["_code", "phrase_id"], "_turn")
+    return rows.withColumn("fold", F.pmod("_turn", F.lit(FOLDS)).cast("int")).drop("_code", "_chunk", "_turn")
 
 
 def assembler() -> VectorAssembler:
@@ -66,8 +67,40 @@ def select(data: DataFrame, rounds: int = 100) -> tuple[str, PipelineModel, dict
     return ("boosting", gbt, scores) if gbt_accuracy >= lr_accuracy else ("logistic", lr, scores)
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+ENTRY = "version long, folder string, model string, features array<string>, logistic double, boosting double, rows long"
+
+
+def save(model: PipelineModel, store: str, name: str, scores: dict[str, float], rows: int) -> None:
+    """Put a model with its metadata into a store.
+
+    The model goes to a folder of its own; then one line of the store's list names it. A reader sees the model before or
+    the new one, whole, and never a mixture."""
+    spark = SparkSession.active()
+    folder = f"{store}/model-{uuid.uuid4().hex}"
+    model.write().save(folder)
+    known = entries(spark, store)
+    version = 1 + (known.agg(F.max("version")).first()[0] if known is not None else -1)
+    line = [(version, folder, name, INPUTS, float(scores["logistic"]), float(scores["boosting"]), rows)]
+    spark.createDataFrame(line, ENTRY).coalesce(1).write.mode("append").json(f"{store}/list")
+
+
+def entries(spark: SparkSession, store: str) -> DataFrame | None:
+    """The list of a store; None where nothing was stored yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/list")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(ENTRY).json(f"{store}/list")
+
+
+def load(spark: SparkSession, store: str) -> tuple[PipelineModel, dict]:
+    """The latest model of a store and its metadata; its features must be the ones that are made now."""
+    known = entries(spark, store)
+    if known is None:
+        raise ValueError(f"no model is stored in {store}")
+    entry = known.orderBy(F.desc("version")).first().asDict()
+    if entry["features"] != INPUTS:
+        raise ValueError(f"the stored model reads other features: {entry['features']}")
+    return PipelineModel.load(entry["folder"]), entry
 
 
 def score(model: PipelineModel, data: DataFrame, fallback: Column, threshold: float = 0.5) -> DataFrame:

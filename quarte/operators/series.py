@@ -11,6 +11,7 @@ summaries between chunks:
 * ``carry``    last or first present value over an unbounded range: one summary
                row per chunk carries the value over chunk edges;
 * ``number``   dense row numbers from per-chunk counts;
+* ``running``  sums over all earlier rows from per-chunk sums;
 * ``runs``     islands of flagged frames with mergeable measures; only pieces
                that touch a chunk edge are merged across chunks;
 * ``overlap_join`` interval joins on equal keys and equal frame buckets;
@@ -135,11 +136,22 @@ def number(
     return (
         df.withColumn("_row", row)
         .join(summary, [*keys, chunk])
-        .withColumn(name, (F.col("_skip") + F.col("_row") + (start - 1)).cast("int"))
+        .withColumn(name, (F.col("_skip") + F.col("_row") + (start - 1)).cast("long"))
         .drop("_skip", "_row")
     )
 
 
+def running(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all earlier rows of a key. ``chunk`` must rise with the order."""
+    earlier = (Window.unboundedPreceding, -1)
+    total = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_sum"))
+    over = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(*earlier)
+    total = total.select(*keys, chunk, F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_skip"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(*earlier))
+    rows = df.withColumn("_inside", inside).join(total, [*keys, chunk])
+    return rows.withColumn(name, (F.coalesce("_inside", F.lit(0)) + F.col("_skip")).cast("long")).drop("_inside", "_skip")
+
+
 def runs(
     df: DataFrame,
     keys: Sequence[str],

@@ -4,7 +4,7 @@ from importlib import import_module
 
 GROUPS = (
     "projections", "windows", "decisions", "logs", "matches", "repairs", "evaluation", "tracked", "whole_jobs",
-    "streams", "models", "sinks",
+    "streams", "framing", "models", "sinks",
 )
 
 

@@ -295,8 +295,11 @@ def class_report(spark, sf):
     return rows.select("cls", *[rnd(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+# The two sides meet per frame; the joints are listed once after that.
+BOTH_SIDES = ", ".join(f"{{'kp': {k}, 'lx': l.x{k}, 'ly': l.y{k}, 'rx': r.x{k}, 'ry': r.y{k}}}" for k in range(17))
 ERR = {
-    "er": "SELECT l.phrase_id, l.frame, l.kp, sqrt(power(l.x - r.x, 2) + power(l.y - r.y, 2)) / 2.0 AS error FROM joints l JOIN joints r ON l.phrase_id = r.phrase_id AND l.frame = r.frame AND l.kp = r.kp AND l.side = 'left' AND r.side = 'right' WHERE l.x > 0 AND l.y > 0 AND r.x > 0 AND r.y > 0"
+    "sides": f"SELECT l.phrase_id, l.frame, unnest([{BOTH_SIDES}]) AS j FROM (SELECT * FROM poses WHERE side = 'left') l JOIN (SELECT * FROM poses WHERE side = 'right') r ON l.phrase_id = r.phrase_id AND l.frame = r.frame",
+    "er": "SELECT phrase_id, frame, j.kp AS kp, sqrt(power(j.lx - j.rx, 2) + power(j.ly - j.ry, 2)) / 2.0 AS error FROM sides WHERE j.lx > 0 AND j.ly > 0 AND j.rx > 0 AND j.ry > 0",
 }
 
 
@@ -307,20 +310,20 @@ def errors(spark, sf):
     return ev.joint_errors(side("left"), side("right"), ["phrase_id", "frame", "kp"], 2.0)
 
 
-@query("oracle_compare", sql(f"SELECT phrase_id, frame, kp::BIGINT AS kp, {v.rnd('error')} AS error FROM er", "joints", **ERR))
+@query("oracle_compare", sql(f"SELECT phrase_id, frame, kp::BIGINT AS kp, {v.rnd('error')} AS error FROM er", "poses", **ERR))
 def oracle_compare(spark, sf):
     return errors(spark, sf).select("phrase_id", "frame", big("kp").alias("kp"), rnd("error").alias("error"))
 
 
 @query(
     "pck_metrics",
-    sql(f"SELECT kp::BIGINT AS kp, {v.rnd('avg((error <= 0.05)::INT)')} AS pck_05, {v.rnd('avg((error <= 0.10)::INT)')} AS pck_10, {v.rnd('avg(error)')} AS mean_error, count(*) AS n FROM er GROUP BY kp", "joints", **ERR),
+    sql(f"SELECT kp::BIGINT AS kp, {v.rnd('avg((error <= 0.05)::INT)')} AS pck_05, {v.rnd('avg((error <= 0.10)::INT)')} AS pck_10, {v.rnd('avg(error)')} AS mean_error, count(*) AS n FROM er GROUP BY kp", "poses", **ERR),
 )
 def pck_metrics(spark, sf):
     return ev.pck(errors(spark, sf)).select(big("kp").alias("kp"), *[rnd(c).alias(c) for c in ("pck_05", "pck_10", "mean_error")], "n")
 
 
-@query("pck_groups", sql(f"SELECT CASE WHEN kp IN (7, 8) THEN 'elbows' WHEN kp IN (9, 10) THEN 'wrists' WHEN kp IN (13, 14) THEN 'knees' ELSE 'ankles' END AS joint_group, {v.rnd('avg(error)')} AS mean_error, count(*) AS n FROM er WHERE kp IN (7, 8, 9, 10, 13, 14, 15, 16) GROUP BY 1", "joints", **ERR))
+@query("pck_groups", sql(f"SELECT CASE WHEN kp IN (7, 8) THEN 'elbows' WHEN kp IN (9, 10) THEN 'wrists' WHEN kp IN (13, 14) THEN 'knees' ELSE 'ankles' END AS joint_group, {v.rnd('avg(error)')} AS mean_error, count(*) AS n FROM er WHERE kp IN (7, 8, 9, 10, 13, 14, 15, 16) GROUP BY 1", "poses", **ERR))
 def pck_groups(spark, sf):
     return ev.group_errors(errors(spark, sf)).withColumn("mean_error", rnd("mean_error"))
 

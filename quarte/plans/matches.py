@@ -35,12 +35,13 @@ def hourly(df, col="ts"):
     ),
 )
 def match_record(spark, sf):
-    """Records written by group of matches and read back; writing a group again replaces it."""
-    records = mt.match_records(hourly(src.signals(spark, sf), "signal_ts"), "_hour", ["signal_ts", "idx"], 60)
+    """Records written at the start of each match and again at its end, which replaces them, and read back."""
+    signals = hourly(src.signals(spark, sf), "signal_ts")
     path = shared_path(spark, "records")
-    tables.write_records(records.where("position = 0"), path)
-    tables.write_records(records, path)
-    return spark.read.schema(records.schema).json(path).select("match_id", "position", "record")
+    begun = signals.groupBy("match_id").agg(F.min("signal_ts").alias("begin"))
+    tables.write_records(begun.select("match_id", F.lit(0).cast("long").alias("position"), F.to_json(F.struct("begin")).alias("record")), path)
+    tables.write_records(mt.match_records(signals, "_hour", ["signal_ts", "idx"], 60), path)
+    return tables.read_records(spark, path, "match_id long, position long, record string").select("match_id", "position", "record")
 
 
 MSG = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarte.operators import contacts as ct, learn
@@ -9,7 +11,7 @@ from quarte.plans import views as v
 from quarte.plans.decisions import PAIR_SQL, DELTA_EXPR
 from quarte.plans.registry import query, rnd
 from quarte.plans.views import sql
-from quarte.session import stage
+from quarte.session import checkpoint_dir, stage
 from quarte.sources import adapters as src
 
 # Frames per short phrase and the contact frame inside it.
@@ -66,14 +68,32 @@ def ml_gbt(spark, sf):
     return spark.createDataFrame([(n, w, float(accuracy)) for n, w in zip(learn.INPUTS, weights)], "feature string, weight double, accuracy double")
 
 
+def store_of(spark, sf):
+    """The model store of a data folder and session, in the shared folder."""
+    name = re.sub(r"\W+", "-", sf).strip("-")
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarte-models-{spark.sparkContext.applicationId}-{name}"
+
+
+def trained(spark, sf):
+    """Both models compared, the better one stored with the accuracies of both."""
+    data = samples(spark, sf)
+    name, model, scores = learn.select(data)
+    learn.save(model, store_of(spark, sf), name, scores, data.count())
+
+
 @query("ml_select")
 def ml_select(spark, sf):
-    name, _, scores = learn.select(samples(spark, sf))
-    return spark.createDataFrame([(k, float(s), k == name) for k, s in scores.items()], "model string, accuracy double, chosen boolean")
+    """What the store says of the model that was chosen."""
+    trained(spark, sf)
+    _, entry = learn.load(spark, store_of(spark, sf))
+    rows = [(k, entry[k], entry["model"] == k, entry["rows"]) for k in ("logistic", "boosting")]
+    return spark.createDataFrame(rows, "model string, accuracy double, chosen boolean, rows long")
 
 
 @query("ml_score")
 def ml_score(spark, sf):
-    data = samples(spark, sf)
-    model = learn.logistic().fit(data)
-    return learn.score(model, data, F.lit("right"))
+    """Sides by the stored model; one is trained where the store has none."""
+    if learn.entries(spark, store_of(spark, sf)) is None:
+        trained(spark, sf)
+    model, _ = learn.load(spark, store_of(spark, sf))
+    return learn.score(model, samples(spark, sf), F.lit("right"))

@@ -10,6 +10,7 @@ from quarte.operators.series import spread_join
 from quarte.plans.registry import big, query, rnd, yes
 from quarte.plans import views as v
 from quarte.plans.views import sql
+from quarte.session import stage
 from quarte.sources import adapters as src
 
 KEY = ("phrase_id", "side", "frame")
@@ -412,8 +413,10 @@ BOOT_SQL = {
 
 
 def bootstrap_rows(spark, sf):
-    """Kept starting candidates with their scores."""
-    return tracks.bootstrap(boxed_detections(spark, sf), ARENA)
+    """Kept starting candidates with their scores.
+
+    The boxes are stored: read anew in every expression, their joints would make code too long to compile."""
+    return tracks.bootstrap(stage(boxed_detections(spark, sf)), ARENA)
 
 
 @query(

@@ -32,6 +32,39 @@ def prediction_sink(spark, sf):
     return spark.read.schema(rows.schema).option("header", "true").csv(path)
 
 
+FORMS = ("csv", "features", "predictions", "decisions")
+
+
+@query(
+    "prediction_sink_forms",
+    sql("SELECT form, item_id, predicted, CASE WHEN form <> 'features' THEN confidence END AS confidence, CASE WHEN form = 'features' THEN item_id % 7 / 4.0::DOUBLE END AS score "
+        f"FROM predictions, (SELECT unnest({list(FORMS)}) AS form)", "predictions"),
+)
+def prediction_sink_forms(spark, sf):
+    """The four forms of one set of predictions, each written and read back: a CSV list, the feature table, JSON lines and
+    one JSON decision per item."""
+    rows = src.predictions(spark, sf).select("item_id", "predicted", "confidence", (F.col("item_id") % 7 / 4.0).alias("score"))
+    paths = {form: folder(spark, f"predictions-{form}") for form in FORMS}
+    tables.write_predictions(rows.select("item_id", "predicted", "confidence"), paths["csv"], "item_id")
+    tables.write_features(rows.select("item_id", "predicted", "score"), paths["features"])
+    tables.write_json(rows.select("item_id", "predicted", "confidence"), paths["predictions"])
+    body = tables.null_safe_json(F.struct(F.col("predicted").alias("winner"), "confidence", tables.finite(F.lit(float("nan"))).alias("margin")))
+    tables.write_decisions(rows.select("item_id", body.alias("body")), paths["decisions"])
+    columns = "item_id long, predicted string, confidence string"
+    back = {
+        "csv": spark.read.schema(columns).option("header", "true").csv(paths["csv"]),
+        "features": spark.read.parquet(paths["features"]),
+        "predictions": spark.read.schema(columns).json(paths["predictions"]),
+        "decisions": tables.read_decisions(spark, paths["decisions"], "winner string, confidence string, margin double").withColumnRenamed("winner", "predicted"),
+    }
+    out = None
+    for form, table in back.items():
+        part = table.withColumn("form", F.lit(form))
+        part = part.select("form", "item_id", "predicted", *(F.col(c) if c in table.columns else F.lit(None).cast(t).alias(c) for c, t in (("confidence", "string"), ("score", "double"))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "batch_log",
     sql("SELECT count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) FILTER (o_orderstatus <> 'F') AS skipped, 0::BIGINT AS errors FROM orders"),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarte.operators import devices, tracking as tr
-from quarte.plans.matches import events, hourly
+from quarte.plans.matches import LIMIT_MS, TIMEOUT, events, hourly
 from quarte.plans.projections import ARENA
 from quarte.plans.registry import ORACLES, query
 from quarte.plans.views import sql
 from quarte.sources import adapters as src
-from quarte.streaming import sessions as ss
+from quarte.streaming import processors as ps, sessions as ss
 
 
 def kinds():
@@ -20,13 +20,22 @@ def kinds():
     )
 
 
-def stream_events(spark, sf, files_per_trigger: int = 64):
+def stream_events(spark, sf, files_per_trigger: int = ss.TOGETHER):
     """The events in the order of their time, with an end; the row that marks it has no event_id."""
-    rows = ss.replay(src.table(spark, sf, "events"), "ts", "user_id", files_per_trigger)
+    rows = ss.replay(src.table(spark, sf, "events"), "ts", files_per_trigger)
     return rows.withColumn("ms", src.millis("ts"))
 
 
-@query("debounce")
+# The next accepted event is the first at least eight hours after the last one; events of equal time go by event_id.
+BOUNCE = (
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events), r AS ("
+    "SELECT user_id, min({'ms': ms, 'event_id': event_id}) AS x FROM e GROUP BY user_id UNION ALL "
+    "SELECT e.user_id, min({'ms': e.ms, 'event_id': e.event_id}) AS x FROM r JOIN e ON e.user_id = r.user_id AND e.ms >= r.x.ms + 28800000 GROUP BY e.user_id) "
+    "SELECT user_id, x.ms AS ms, x.event_id AS event_id FROM r"
+)
+
+
+@query("debounce", BOUNCE)
 def debounce(spark, sf):
     """The adapter events are hours apart, so the limit is in hours too."""
     rows = hourly(events(spark, sf), "ms").select("user_id", "event_id", "ms", "_hour")
@@ -109,13 +118,59 @@ NEAR_12H = (
 )
 
 
+def timed_rows(spark, sf, kind):
+    """Events as rows of a timed processor; the end of input has a key of its own."""
+    rows = stream_events(spark, sf)
+    return rows.select(
+        F.coalesce("user_id", F.lit(-1).cast("long")).alias("user_id"), F.col("ts").cast("timestamp").alias("at"),
+        F.col("ms").alias("ts"), kind.alias("kind"), F.col("event_id").alias("idx"),
+    )
+
+
 @query("signal_frame_stream", NEAR_12H)
 def signal_frame_stream(spark, sf):
-    # The end of input needs a key, or the join drops it before the watermark sees it.
-    rows = stream_events(spark, sf).withColumns({"at": F.col("ts").cast("timestamp"), "user_id": F.coalesce("user_id", F.lit(-1).cast("long"))})
-    signals = rows.where("event_type <> 'view' OR event_id IS NULL").select("user_id", F.col("event_id").alias("idx"), "at")
-    frames = rows.where("event_type = 'view' OR event_id IS NULL").select("user_id", F.col("event_id").alias("frame"), "at")
-    return ss.nearest(ss.run_to_end(ss.near_frames(signals, frames, "12 hours"), "near").where("idx IS NOT NULL"))
+    kind = F.when(F.col("event_type") == "view", ps.Nearest.FRAME).otherwise(ps.Nearest.SIGNAL)
+    rows = timed_rows(spark, sf, kind)
+    return ss.run_to_end(ps.timed(rows, "user_id", "at", "12 hours", ps.Nearest(12 * src.HOUR_MS)), "near")
+
+
+SETTLED = (
+    f"SELECT user_id, event_id, 'in_time' AS said, result_id, wait AS wait_ms FROM rt WHERE wait <= {LIMIT_MS} UNION ALL "
+    f"SELECT user_id, event_id, 'timeout', NULL, NULL FROM rt WHERE wait IS NULL OR wait > {LIMIT_MS} UNION ALL "
+    f"SELECT user_id, event_id, 'backfill', result_id, wait FROM rt WHERE wait > {LIMIT_MS}"
+)
+
+
+@query("result_timeout_stream", sql(SETTLED, **TIMEOUT))
+def result_timeout_stream(spark, sf):
+    """Rounds settled in time, given up by their timer, and replaced by a late result."""
+    event = F.col("event_type")
+    kind = F.when(event == "view", ps.ResultTimer.END).when(event == "purchase", ps.ResultTimer.RESULT)
+    rows = timed_rows(spark, sf, kind)
+    rows = rows.where("kind IS NOT NULL OR idx IS NULL")
+    return ss.run_to_end(ps.timed(rows, "user_id", "at", "6 hours", ps.ResultTimer(LIMIT_MS)), "timeout")
+
+
+@query("active_gate_stream", ORACLES["active_gate"])
+def active_gate_stream(spark, sf):
+    """Frames and control rows as one stream; the mark of a user comes with the row of its last frame, so most frames wait."""
+    frames = src.frames(spark, sf).select("user_id", F.col("frame").cast("long").alias("frame"), "ts")
+    marks = frames.groupBy("user_id").agg(F.max("ts").alias("ts"))
+    marks = marks.select("user_id", F.lit(None).cast("long").alias("frame"), "ts", (F.col("user_id") % 4).cast("long").alias("mark"))
+    rows = frames.withColumn("mark", F.lit(None).cast("long")).unionByName(marks)
+    rows = rows.withColumn("at", F.timestamp_millis("ts"))
+    stream = ss.replay(rows, "at").where("user_id IS NOT NULL").select("user_id", "frame", "ts", "mark")
+    return ss.run_to_end(ps.gated(stream, "user_id"), "gate")
+
+
+@query("message_routing_stream", ORACLES["message_routing"])
+def message_routing_stream(spark, sf):
+    """Signals of matches that are started and not cancelled; a match is over after 400 days without a signal."""
+    s = src.signals(spark, sf)
+    kind = F.when(F.col("fight") == 5, ps.Routing.CANCEL).when(F.col("source") == "light", ps.Routing.START).otherwise(ps.Routing.MESSAGE)
+    rows = s.select("match_id", F.timestamp_millis("signal_ts").alias("at"), F.col("signal_ts").alias("ts"), kind.alias("kind"), "idx")
+    stream = ss.replay(rows, "at").withColumn("match_id", F.coalesce("match_id", F.lit(-1).cast("long")))
+    return ss.run_to_end(ps.timed(stream, "match_id", "at", "6 hours", ps.Routing(400 * 24 * src.HOUR_MS)), "routing")
 
 
 def stream_detections(spark, sf):

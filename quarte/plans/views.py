@@ -17,8 +17,8 @@ COORDS = [f"{a}{k}" for k in JOINTS for a in "xy"]
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "posef": (
         (),
-        "SELECT label AS phrase_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS frame, "
-        "vec_id, embedding AS e FROM embeddings",
+        "SELECT phrase_id, (row_number() OVER (PARTITION BY phrase_id ORDER BY vec_id) - 1)::INT AS frame, "
+        "vec_id, embedding AS e FROM (SELECT *, (vec_id // 500) * 10 + label AS phrase_id FROM embeddings)",
     ),
     "poses": (
         ("posef",),
@@ -42,10 +42,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "info": (
         (),
-        "SELECT label AS phrase_id, n, n * 4 // 5 - label % 3 AS left_hit, n * 4 // 5 - label % 4 AS right_hit, "
-        "n * 3 // 10 AS contact_1, CASE WHEN label % 4 <> 3 THEN n * 4 // 5 - 6 - label % 3 END AS contact_2, "
-        "CASE WHEN label % 5 = 0 THEN n * 4 // 5 - 7 END AS lockout "
-        "FROM (SELECT label, count(*)::INT AS n FROM embeddings GROUP BY label)",
+        "SELECT p AS phrase_id, n, (n * 4 // 5 - p % 3)::INT AS left_hit, (n * 4 // 5 - p % 4)::INT AS right_hit, "
+        "n * 3 // 10 AS contact_1, CASE WHEN p % 4 <> 3 THEN n * 4 // 5 - 6 - p % 3 END::INT AS contact_2, "
+        "CASE WHEN p % 5 = 0 THEN n * 4 // 5 - 7 END AS lockout "
+        "FROM (SELECT (vec_id // 500) * 10 + label AS p, count(*)::INT AS n FROM embeddings GROUP BY ALL)",
     ),
     "hits": (
         ("info",),

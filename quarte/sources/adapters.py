@@ -8,7 +8,7 @@ task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarte.functions.geometry import JOINTS
@@ -37,12 +37,16 @@ def _coord(k: int, axis: int) -> str:
     )
 
 
+#: Vectors whose ids lie together that a phrase is taken from; bounds the length of a phrase, so phrases grow in number.
+TOGETHER = 500
+PHRASE = f"(vec_id div {TOGETHER}) * 10 + label"
+
+
 def pose_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """(phrase_id, frame, vec_id, embedding): frame is the rank of vec_id."""
-    base = table(spark, sf, "embeddings").select(
-        F.col("label").alias("phrase_id"), "vec_id", "embedding", F.expr("vec_id div 65536").alias("_ids")
-    )
-    return number(base, ["phrase_id"], "_ids", ["vec_id"]).drop("_ids")
+    """(phrase_id, frame, vec_id, embedding): a phrase is a label in one stretch of ids, frame is the rank of vec_id."""
+    base = table(spark, sf, "embeddings").select(F.expr(PHRASE).alias("phrase_id"), "vec_id", "embedding")
+    rank = F.row_number().over(Window.partitionBy("phrase_id").orderBy("vec_id")) - 1
+    return base.withColumn("frame", rank.cast("int"))
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +108,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("_hour", F.expr(f"ms div {HOUR_MS}"))
     )
     out = number(views, ["user_id"], "_hour", ["ts", "event_id"])
-    return out.select("user_id", "frame", F.col("ms").alias("ts"))
+    return out.select("user_id", F.col("frame").cast("int").alias("frame"), F.col("ms").alias("ts"))
 
 
 def phrase_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +147,7 @@ def phrase_log(spark: SparkSession, sf: str) -> DataFrame:
         .when(i % 5 == 3, "Manual selection winner: Left")
         .otherwise(timed("Phrase recording started"))
     )
-    return rows.select("phrase_id", "line_no", "ms", "t", line.alias("line"))
+    return rows.select("phrase_id", F.col("line_no").cast("int").alias("line_no"), "ms", "t", line.alias("line"))
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +159,7 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
     out = number(lines, ["series_id"], "_day", ["l_shipdate", "l_orderkey", "l_linenumber"])
     return out.select(
         "series_id",
-        "frame",
+        F.col("frame").cast("int").alias("frame"),
         F.when(F.col("l_orderkey") % 13 != 0, F.col("l_quantity") / 50.0).alias("x"),
         (F.col("l_discount") * 10).alias("y"),
     )

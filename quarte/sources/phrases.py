@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarte.params import ArmRules, ContactRules, LungeRules, PauseRules, Rules
-from quarte.sources.adapters import table
+from quarte.sources.adapters import PHRASE, table
 
 FPS = 30.0
 # The adapter poses jump far more from frame to frame than a fencer does, so the
@@ -29,16 +29,16 @@ def info(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("phrase_id")
     return (
         table(spark, sf, "embeddings")
-        .groupBy(F.col("label").alias("phrase_id"))
+        .groupBy(F.expr(PHRASE).alias("phrase_id"))
         .agg(F.count(F.lit(1)).cast("int").alias("n"))
         .withColumn("late", F.expr("int(n * 4 div 5)"))
         .select(
             "phrase_id",
             "n",
-            (F.col("late") - p % 3).alias("left_hit"),
-            (F.col("late") - p % 4).alias("right_hit"),
+            (F.col("late") - p % 3).cast("int").alias("left_hit"),
+            (F.col("late") - p % 4).cast("int").alias("right_hit"),
             F.expr("int(n * 3 div 10)").alias("contact_1"),
-            F.when(p % 4 != 3, F.col("late") - 6 - p % 3).alias("contact_2"),
+            F.when(p % 4 != 3, F.col("late") - 6 - p % 3).cast("int").alias("contact_2"),
             F.when(p % 5 == 0, F.col("late") - 7).alias("lockout"),
         )
     )

@@ -100,9 +100,29 @@ def write_predictions(rows: DataFrame, path: str, key: str) -> None:
     rows.orderBy(key).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_features(rows: DataFrame, path: str) -> None:
+    """The feature table as Parquet, in files by size."""
+    rows.hint("rebalance").write.mode("overwrite").parquet(path)
+
+
+def write_decisions(rows: DataFrame, path: str) -> None:
+    """One line per item: its number, a tab, and the decision as JSON text with null fields kept."""
+    rows.select(F.concat_ws("\t", F.col("item_id").cast("string"), "body")).write.mode("overwrite").text(path)
+
+
+def read_decisions(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Decisions with their parts; a line that is no JSON has none."""
+    rows = spark.read.text(path).select(F.split("value", "\t", 2).alias("v"))
+    return rows.select(F.col("v")[0].cast("long").alias("item_id"), F.from_json(F.col("v")[1], columns).alias("d")).select("item_id", "d.*")
+
+
 def write_buckets(rows: DataFrame, path: str, bucket: str = "bucket") -> None:
-    """Rows by bucket; only the buckets at hand are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
+    """Rows by bucket; only the buckets at hand are replaced.
+
+    One exchange puts the rows of a bucket together, so that a bucket is one file; Spark cuts partitions beyond its
+    advisory size, so that the file count follows bytes and not tasks."""
+    dealt = rows.hint("rebalance", F.col(bucket))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
 
 
 def append_status(rows: DataFrame, path: str) -> None:
@@ -110,9 +130,31 @@ def append_status(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+VERSION = "version"
+
+
 def write_records(records: DataFrame, path: str) -> None:
-    """Match records by group of matches; writing a group again replaces it whole."""
-    day = F.expr("match_id div 1000")
-    records.withColumn("bucket", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "bucket"
-    ).json(path)
+    """Match records; writing a match again replaces it whole.
+
+    Every write is a version of its own, so the old records stay whole until the new ones are committed. One exchange
+    clusters the rows by match, and Spark cuts and joins partitions by their bytes: a version has as many files as its size
+    asks for, whatever the number of tasks and matches."""
+    spark = records.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+    last = max((int(n.split("=")[1]) for n in names if n.startswith(f"{VERSION}=")), default=-1)
+    clustered = records.hint("rebalance", F.col("match_id"))
+    clustered.sortWithinPartitions("match_id", "position").write.json(f"{path}/{VERSION}={last + 1}")
+
+
+def read_records(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Records of the latest version of every match."""
+    rows = spark.read.schema(f"{columns}, {VERSION} long").json(path)
+    latest = rows.groupBy("match_id").agg(F.max(VERSION).alias(VERSION))
+    return rows.join(latest, ["match_id", VERSION]).drop(VERSION)
+
+
+def compact_records(spark: SparkSession, path: str, to: str, columns: str) -> None:
+    """Write the latest records as the only version of a new store."""
+    write_records(read_records(spark, path, columns), to)

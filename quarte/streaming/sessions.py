@@ -9,21 +9,24 @@ time, so that order holds over micro-batches too.
 from __future__ import annotations
 
 import pickle
+import time as clock
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarte.operators import asof, tracking
+from quarte.operators import asof, automata, devices, tracking
 from quarte.session import checkpoint_dir, shared_path
 
 
 SLICES = 8  #: stretches of time that a stored table is replayed in, at least
-SLICE_ROWS = 4_000_000  #: rows of a stretch, about
-SLICE, FILE, FILLER = "quarte_slice", "quarte_file", "quarte_filler"  #: columns of stored slices
+SLICE_ROWS = 250_000  #: rows of a stretch, about
+TOGETHER = 16  #: stretches in a micro-batch; with the rows of a stretch they bound what one key can have in a batch
+STEP_MS = 100  #: between the times of neighbouring files
 BEYOND = "INTERVAL 3650 DAYS"  #: how far after the last row the end of input is stamped
 
 
@@ -34,41 +37,34 @@ def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int =
     return reader.parquet(f"{folder}/{name}.parque[t]")  # a pattern, as a plain path has to be a folder
 
 
-def replay(rows: DataFrame, time: str, key: str, files_per_trigger: int = 64, slices: int | None = None) -> DataFrame:
+def replay(rows: DataFrame, time: str, files_per_trigger: int = TOGETHER, slices: int | None = None) -> DataFrame:
     """Stored rows as a stream in event time, with an end.
 
-    Rows are dealt into slices of their time, about ``SLICE_ROWS`` each, and written to the shared folder slice by slice,
-    so that file order is time order whatever the order of the table's own files. Every slice has the same number of files,
-    rows of a key share one, and a trigger takes just that many: a batch is one whole slice, so no row comes after the
-    watermark of its own slice. One row per file, marked and left out on reading, keeps files from being empty and thus
-    unwritten. One last row, all NULL but for a time far beyond the others, moves the watermark past everything: open
-    sessions and unmatched rows come out. Rows without a time come with the first slice."""
+    One exchange by ranges of time writes a file for each stretch of about ``SLICE_ROWS`` rows, sorted by time. The stream
+    reads files by their time of change, so the driver stamps them in the order of their stretches, whatever the order of
+    the table's own files: a batch is some whole stretches, and no row comes after the watermark of an earlier batch. One
+    last row, all NULL but for a time far beyond the others, moves the watermark past everything: open sessions and
+    unmatched rows come out. Rows without a time come first."""
     spark = rows.sparkSession
-    shelf, path = shared_path(spark, "slices"), shared_path(spark, "replay")
-    files = max(1, min(files_per_trigger, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-    stamp = F.unix_micros(F.col(time).cast("timestamp"))
+    path = shared_path(spark, "replay")
     slices = slices or max(SLICES, -(-rows.count() // SLICE_ROWS))
-    shares = [i / slices for i in range(1, slices)]
-    marks = rows.select(stamp.alias("_t")).agg(F.percentile_approx("_t", shares, max(10000, 10 * slices))).first()[0] if shares else None
-    marks = sorted(set(marks or []))
-    at = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < stamp)) if marks else F.lit(0)
-    deal = F.pmod(F.hash(key), F.lit(files))
-    dealt = rows.withColumns({SLICE: at, FILE: deal, FILLER: F.lit(False)})
-    filler = spark.range((len(marks) + 1) * files).select(
-        F.expr(f"int(id div {files})").alias(SLICE), F.expr(f"int(id % {files})").alias(FILE), F.lit(True).alias(FILLER)
-    )
-    # on a shelf first, so that the table is read once and not for every slice
-    dealt.unionByName(filler, allowMissingColumns=True).repartition(SLICE, FILE).write.partitionBy(SLICE).parquet(shelf)
-    shape = dealt.drop(SLICE).schema
-    for k in range(len(marks) + 1):
-        part = spark.read.schema(shape).parquet(f"{shelf}/{SLICE}={k}")
-        part.repartition(files, FILE).write.mode("append").partitionBy(FILE).parquet(path)
+    rows.repartitionByRange(slices, F.col(time)).sortWithinPartitions(time).write.parquet(path)
     end = rows.agg(F.max(time).alias("_end")).filter("_end IS NOT NULL")
     last = [F.expr(f"_end + {BEYOND}") if c == time else F.lit(None) for c in rows.columns]
-    end = end.select(*(e.cast(rows.schema[c].dataType).alias(c) for e, c in zip(last, rows.columns)), F.lit(0).alias(FILE), F.lit(False).alias(FILLER))
-    end.write.mode("append").partitionBy(FILE).parquet(path)
-    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", files).parquet(path)
-    return stream.where(~F.col(FILLER)).select(*rows.columns)
+    end = end.select(*(e.cast(rows.schema[c].dataType).alias(c) for e, c in zip(last, rows.columns)))
+    stamp(spark, path, end)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files_per_trigger)).parquet(path)
+
+
+def stamp(spark: SparkSession, path: str, end: DataFrame) -> None:
+    """Give the files of a folder rising times of change by their names, then append the end of input behind them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    first = int(clock.time() * 1000) - STEP_MS * (len(files) + 1)
+    for k, file in enumerate(files):
+        store.setTimes(file, first + k * STEP_MS, -1)
+    end.coalesce(1).write.mode("append").parquet(path)
 
 
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
@@ -131,33 +127,31 @@ def life_cycle(stream: DataFrame) -> DataFrame:
     """Match states per device over rows (device, ts, idx, kind).
 
     kind is start, ready, hit, end, cancel or result. Emits one row per accepted
-    event; a new start preempts, hits count only while playing."""
+    event; a new start preempts, hits count only while playing. The rows of a batch are one composition of transitions."""
+    grid = np.array(devices.GRID, np.int64)
+    number = {k: n for n, k in enumerate(devices.KINDS)}
+    # what a kind of row says in each state
+    said = np.full((len(grid), 4), None, object)
+    said[number["start"], 1:] = "preempted"
+    said[number["cancel"], 1:] = "cancelled"
+    said[number["ready"], devices.PREPARING] = "playing"
+    said[number["hit"], devices.PLAYING] = "signal"
+    said[number["end"], devices.PLAYING] = "settling"
+    said[number["result"], devices.PLAYING:] = "finished"
 
     def step(state: tuple, rows: pd.DataFrame):
-        phase, match = state
-        out = []
-        for r in rows.itertuples():
-            if r.kind == "start":
-                if phase != "idle":
-                    out.append((r.device, match, "preempted", r.idx))
-                phase, match = "preparing", int(r.idx)
-            elif r.kind == "cancel" and phase != "idle":
-                out.append((r.device, match, "cancelled", r.idx))
-                phase = "idle"
-            elif r.kind == "ready" and phase == "preparing":
-                out.append((r.device, match, "playing", r.idx))
-                phase = "playing"
-            elif r.kind == "hit" and phase == "playing":
-                out.append((r.device, match, "signal", r.idx))
-            elif r.kind == "end" and phase == "playing":
-                out.append((r.device, match, "settling", r.idx))
-                phase = "settling"
-            elif r.kind == "result" and phase in ("playing", "settling"):
-                out.append((r.device, match, "finished", r.idx))
-                phase = "idle"
-        return (phase, match), pd.DataFrame(out, columns=["device", "start_idx", "event", "idx"])
-
-    return keyed(stream, "device", ["ts", "idx"], LIFE, "phase string, start_idx bigint", ("idle", -1), step)
+        entry, match = state
+        code = rows["kind"].map(number).fillna(len(number)).to_numpy(np.int64)
+        first = np.arange(len(code)) == 0
+        before = automata.scanned(grid, code, first, np.array([entry]))
+        started = np.where(code == number["start"], rows["idx"], -1)
+        at = np.maximum.accumulate(np.where(started >= 0, np.arange(len(code)), -1))
+        now = np.where(at >= 0, started[at], match)
+        event = said[code, before]
+        out = pd.DataFrame({"device": rows["device"], "start_idx": np.append(match, now)[:-1], "event": event, "idx": rows["idx"]})
+        return (int(grid[code[-1], before[-1]]), int(now[-1])), out[event != None]  # noqa: E711
+
+    return keyed(stream, "device", ["ts", "idx"], LIFE, "phase int, start_idx bigint", (devices.IDLE, -1), step)
 
 
 def live_tracks(detections: DataFrame, rules: tracking.TrackRules) -> DataFrame:
@@ -193,29 +187,6 @@ def silences(stream: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     )
 
 
-def active_frames(stream: DataFrame, marks: DataFrame) -> DataFrame:
-    """Frames from the active mark on, renumbered; ``marks`` has one row per user."""
-    return stream.join(marks, "user_id").where("frame >= mark").withColumn("frame", F.col("frame") - F.col("mark"))
-
-
-def near_frames(signals: DataFrame, frames: DataFrame, bound: str) -> DataFrame:
-    """Candidate frames within a time bound of each signal, stream to stream.
-
-    Both sides carry (user_id, at TIMESTAMP); signals without a frame come out
-    once the watermark has passed."""
-    s = signals.withWatermark("at", bound).alias("s")
-    f = frames.withWatermark("at", bound).alias("f")
-    span = F.expr(f"s.user_id = f.user_id AND f.at BETWEEN s.at - INTERVAL {bound} AND s.at + INTERVAL {bound}")
-    return s.join(f, span, "leftOuter").select("s.user_id", "s.idx", F.col("s.at").alias("at"), "f.frame", F.col("f.at").alias("frame_at"))
-
-
-def nearest(candidates: DataFrame) -> DataFrame:
-    """The nearest candidate of each signal, the earlier frame on a tie."""
-    gap = F.abs(F.unix_micros("frame_at") - F.unix_micros("at"))
-    best = F.min(F.when(F.col("frame_at").isNotNull(), F.struct(gap.alias("gap"), "frame_at", "frame")))
-    return candidates.groupBy("user_id", "idx").agg(best["frame"].alias("frame"))
-
-
 def batch_nearest(signals: DataFrame, frames: DataFrame) -> DataFrame:
     """Batch form of the same match, without a time bound."""
     return asof.pick(asof.neighbours(signals, frames, ["user_id"], "ts", "frame"), "ts")

@@ -5,7 +5,10 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("dedup_stream", "match_lifecycle_stream", "heartbeat_stream", "signal_frame_stream")
+NAMES = (
+    "dedup_stream", "match_lifecycle_stream", "heartbeat_stream", "signal_frame_stream", "result_timeout_stream", "active_gate_stream",
+    "message_routing_stream",
+)
 
 
 @pytest.fixture(scope="module")
@@ -29,20 +32,20 @@ def test_streams_are_whole_in_any_file_order(spark, shuffled, monkeypatch, name)
     from quarte.streaming import sessions
 
     whole = sessions.replay
-    monkeypatch.setattr(sessions, "replay", lambda rows, time, key, files=1: whole(rows, time, key, 1, 3))
+    monkeypatch.setattr(sessions, "replay", lambda rows, time, files=1: whole(rows, time, 1, 3))
     good, why, n = compare(entry.queries()[name](spark, shuffled), duck(SF), entry.oracle_sql()[name])
     assert good and n > 0, why
 
 
-@pytest.mark.parametrize("name", ("heartbeat_stream", "signal_frame_stream"))
+@pytest.mark.parametrize("name", ("heartbeat_stream", "signal_frame_stream", "result_timeout_stream"))
 def test_slices_of_several_files_lose_no_rows(spark, shuffled, monkeypatch, name):
-    """Slices far longer than the watermark's delay, whose files by shuffle are those of several triggers; late rows go from the third on."""
+    """Batches of two stretches each, far longer than the watermark's delay; rows out of order would be lost from the third on."""
     import __spark_entry__ as entry
     from quarte.plans.check import compare, duck
     from quarte.streaming import sessions
 
     whole = sessions.replay
-    monkeypatch.setattr(sessions, "replay", lambda rows, time, key, files=2: whole(rows, time, key, 2, 2))
+    monkeypatch.setattr(sessions, "replay", lambda rows, time, files=2: whole(rows, time, 2, 7))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
