@@ -6,7 +6,9 @@ every page is read again at the path that won on its host. A page without that p
 its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are told by tag, role, class
-and id and left out everywhere. What only a word or a form tag tells is kept where it wraps the page's largest article
+and id and left out everywhere. Words in a class or id count on blocks only, and inside an article or main not on headings,
+paragraphs, lists' items and cells, nor where the name has words of its own (``social-history``): marks in code, links and
+sections on such things are text. What only a word or a form tag tells is kept where it wraps the page's largest article
 or main, or over half of the running text of a page without these (not by a name of such words alone): layouts name wrappers by what is in them
 (``has-sidebar``, ``no-comments``). A header inside the article keeps its headings.
 
@@ -20,7 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html import unescape
+from html import escape, unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +34,9 @@ LONGEST = 4000  #: characters of a path; elements nested deeper belong to the co
 TOP = 1  #: containers of a page that get its vote
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video xmp".split())
-SKIP = frozenset("nav footer aside form button select option menu dialog label fieldset head datalist".split()) | RAW
+RAW = frozenset("script style textarea title noscript template iframe svg canvas audio video xmp".split())
+SHOWN = frozenset({"xmp"})  #: read as they are written, and shown
+SKIP = frozenset("nav footer aside form button select option menu dialog label fieldset head datalist".split()) | (RAW - SHOWN)
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer"
     " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary"
@@ -57,6 +60,14 @@ DROPPED = frozenset(
     " promo promotion comment comments disqus respond reply replies share sharing social related recommended newsletter"
     " subscribe subscription signup login popup modal overlay toolbar widget pagination pager search skip hidden".split()
 )
+#: blocks of running text and their parts, which no word in their name leaves out of an article
+PROSE = HEADING | frozenset("p pre blockquote li dt dd td th tr caption figcaption".split())
+#: words beside those above that say nothing of what an element holds
+PLAIN = frozenset(
+    "area bar block blocks body bottom box btn button buttons column container content col count entry feed form group header heading icon icons"
+    " inline inner item items left link links list main message messages module msg outer panel post posts region right row section"
+    " slot small story stories text thread tile title top unit view wrap wrapper article articles a an and the by for in js ui".split()
+)
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
 #: what is left out by a word or as a form but may wrap the content: with other words in its name, with none, of comments
 WRAPPERS = ("wrap", "holds", "comments")
@@ -91,8 +102,12 @@ def dropped(tag: str, attrs: str, in_article: bool) -> tuple[bool, str, str]:
         return True, "", step
     if not found or tag in ("body", "html", "article", "main"):
         return False, "", step
+    if tag not in BLOCK or in_article and tag in PROSE:
+        return False, "", step
     for name in (*classes, found.get("id", "")):
         words = set(PART.findall(CAMEL.sub(" ", name).lower()))
+        if in_article and any(w.isalpha() for w in words - DROPPED - PLAIN):
+            continue  # a name of more than these words says what the article is about
         if words & DROPPED and not (words & CONTENT and words & DROPPED <= {"header"}):
             return True, "wrap" if any(w.isalpha() for w in words - DROPPED) else "comments" if words & COMMENTS else "holds", step
     return False, "", step
@@ -219,6 +234,8 @@ class Page:
                     left_out = False
                 if tag in RAW:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    if tag in SHOWN and not out:
+                        self.words.append(escape(html[at : end.start() if end else len(html)]))
                     at = end.end() if end else len(html)
                     continue
                 near = len(path) < LONGEST

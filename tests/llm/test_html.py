@@ -1,5 +1,7 @@
 """Main text of pages with known content."""
 
+import re
+
 import pytest
 
 from quarte.llm import html
@@ -98,3 +100,21 @@ def test_wrappers_named_by_what_is_beside_keep_the_text(name, inner):
 def test_an_advert_longer_than_the_article_stays_out():
     html = '<body><div class="ad">A rather long advert for something.</div><div class="sidebar"><article><p>Short.</p></article></div></body>'
     assert Page(html).text(None) == "Short."
+
+
+@pytest.mark.parametrize("inside", [
+    '<p>Run <span class="hljs-comment"># set it up</span> first.</p>', '<pre><code><span class="token comment">// a comment</span></code></pre>',
+    '<h2 class="related-work">Related work</h2>', '<div class="social-history">A history of society.</div>', '<p>See <a class="share-price">the price</a>.</p>',
+    '<p class="search-engine-history">Before the web.</p>', "<p>So <math><mi>x</mi> = 1</math> holds.</p>", "<p><object>Shown without a viewer</object></p>",
+    "<xmp>a < b & c</xmp>", '<ul class="links"><li class="widget">A thing</li></ul>',
+])
+def test_names_inside_an_article_leave_text_alone(inside):
+    shown = " ".join(re.sub("</?[a-z][^>]*>", "", inside).split())
+    page = f"<body><article><p>The first paragraph.</p>{inside}<p>The last one.</p></article></body>"
+    assert Page(page).text(None) == f"The first paragraph.\n{shown}\nThe last one."
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "related-posts", "comments-area", "newsletter-signup", "ad-container", "ad", "adSlot", "social", "post-comments"])
+def test_blocks_of_such_words_stay_out_of_the_article(name):
+    page = f'<body><article><p>The first paragraph.</p><div class="{name}"><p>Not this.</p></div><p>The last one.</p></article></body>'
+    assert Page(page).text(None) == "The first paragraph.\nThe last one."
