@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarte.functions import codes, geometry as g
-from quarte.operators import evaluate as ev, repair as rp
+from quarte.operators import evaluate as ev, motion, repair as rp
 from quarte.operators.series import spread_join
 from quarte.plans import views as v
 from quarte.plans.projections import BOXED, boxed
@@ -43,8 +43,8 @@ def pose_scan(spark, sf):
 def pose_scan_scaled(spark, sf):
     """Joints times the constant of their phrase; a value at or below the edge is missing."""
     rows = src.poses(spark, sf).select(*SIDE, "frame", "x16", "y16")
-    labels = src.table(spark, sf, "embeddings").select(F.col("label").alias("phrase_id")).distinct()
-    constants = labels.where("phrase_id % 3 <> 0").withColumn("c", 1 + F.col("phrase_id") / 8.0)
+    phrases = src.table(spark, sf, "embeddings").select(F.expr(src.PHRASE).alias("phrase_id")).distinct()
+    constants = phrases.where("phrase_id % 3 <> 0").withColumn("c", 1 + F.col("phrase_id") / 8.0)
     rows = ev.with_constant(rows, constants)
     cell = lambda a: F.col(f"{a}16") * F.col("c") - 1.8
     return rows.select(*SIDE, "frame", *[rnd(F.when(cell(a) > 0, cell(a)), 9).alias(a) for a in "xy"])
@@ -68,6 +68,23 @@ def pose_sink(spark, sf):
     return spark.read.parquet(path).select(*tables.to_sheets(poses).columns)
 
 
+def _filled(a: str) -> str:
+    over = "OVER (PARTITION BY phrase_id, side, kp ORDER BY frame ROWS BETWEEN"
+    back, ahead = f"{over} UNBOUNDED PRECEDING AND CURRENT ROW)", f"{over} CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    at = f"CASE WHEN {a} IS NOT NULL THEN frame END IGNORE NULLS"
+    bf, bv, af, av = f"last_value({at}) {back}", f"last_value({a} IGNORE NULLS) {back}", f"first_value({at}) {ahead}", f"first_value({a} IGNORE NULLS) {ahead}"
+    return f"{v.rnd(f'coalesce({a}, {bv} + ({av} - {bv}) * (frame - {bf}) / ({af} - {bf}), {bv}, {av}, 0)')} AS {a}"
+
+
+@query("sheet_scan_filled", sql(f"SELECT {K}, kp::BIGINT AS kp, {_filled('x')}, {_filled('y')} FROM joints", "joints"))
+def sheet_scan_filled(spark, sf):
+    """Joint sheets as they are stored, read and filled: linear between values, the nearest at the ends, 0 without any."""
+    path = shared_path(spark, "sheets")
+    tables.write_sheets(src.poses(spark, sf), path)
+    rows = motion.fill_all(tables.read_sheets(spark, path), [*SIDE, "kp"], "frame", ["x", "y"])
+    return rows.select(*SIDE, "frame", big("kp").alias("kp"), rnd("x").alias("x"), rnd("y").alias("y"))
+
+
 @query(
     "artifact_catalog",
     sql(

@@ -407,7 +407,7 @@ def legacy_log_sink(spark, sf):
         ).alias("line"),
     )
     lines = frame.unionByName(scored).withColumn("_chunk_key", F.struct("part", F.expr(f"ts div {src.HOUR_MS}")))
-    out = number(lines, ["user_id"], "_chunk_key", ["part", "ts", "idx"], "line_no", start=1)
+    out = number(lines, ["user_id"], "_chunk_key", ["part", "ts", "idx"], "line_no", start=1).withColumn("line_no", F.col("line_no").cast("int"))
     written, path = out.select("user_id", "line_no", "line"), shared_path(spark, "log")
     tables.write_json(written, path)
     return spark.read.schema(written.schema).json(path)
