@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from quarte.llm.common import blobs, for_lanes, in_lanes, join_small, longs, stage
+from quarte.llm.blocks import slices
+from quarte.llm.common import for_lanes, in_lanes, join_small, longs, stage
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -79,8 +80,8 @@ def statistics(docs: DataFrame, columns: list[str], text: str = "text") -> DataF
     out = T.StructType([given.schema[c] for c in columns] + [T.StructField(c, T.LongType()) for c in STATS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [text_stats(b) for b in blobs(batch.column(text))]
+        for batch, texts in slices(batches, text):
+            found = [text_stats(b) for b in texts]
             cols = [batch.column(c) for c in columns] + [longs([f[k] for f in found]) for k in range(len(STATS))]
             yield pa.RecordBatch.from_arrays(cols, names=[*columns, *STATS])
 
@@ -289,8 +290,13 @@ def quality(docs: DataFrame, rules: McdRules | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: McdRules | None = None) -> DataFrame:
-    """The documents that pass, with all their columns as they were."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
-    rows = stage(statistics(docs, ["lang", "source"]))
-    measured = statistics(packed, ["_row", "lang", "source"])
-    return judge(measured, fit(rows, rules), rules).filter("kept").select("_row.*")
+    """The documents that pass, with all their columns as they were.
+
+    Texts are measured once: the documents are stored beside their statistics, the estimates read only those, and the
+    verdict filters the stored rows. Columns are numbered meanwhile, so no name clashes."""
+    names = {c: f"_c{k}" for k, c in enumerate(docs.columns)}
+    numbered = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    measured = statistics(numbered, list(names.values()), names["text"])
+    rows = stage(measured.withColumns({c: F.col(names[c]) for c in ("lang", "source")}))
+    judged = judge(rows, fit(rows, rules), rules).filter("kept")
+    return judged.select(*(F.col(n).alias(c) for c, n in names.items()))
