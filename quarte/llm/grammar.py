@@ -5,9 +5,10 @@ neighbouring symbols are replaced by new symbols, again and again: each round co
 at least ``LEAST`` times by their count, replaces where a pair outranks the pairs that overlap it, and adds a rule for
 each pair replaced often enough. It ends when a round shortens the sequence by less than ``GAIN``.
 
-A shard is stored as one binary record: header, doc ids, ids per document, rules (two symbols each), expansion lengths
-of the rules, and the remaining symbols. The lengths summed over the symbols tell which symbols hold a range of ids, so
-a document is decoded by expanding only those.
+A shard is stored as one binary record: header, steps between doc ids, ids per document and expansion lengths of the rules
+as numbers of seven bits a byte, then the rules (two symbols each) and the remaining symbols, packed with just the bits that
+the largest symbol needs. The lengths summed over the symbols tell which symbols hold a range of ids, so a document is
+decoded by expanding only those.
 
 Defined results: a missing text is empty and holds the end id alone; missing doc_ids come first; rows that repeat a
 doc_id follow each other in order of their text; an empty table has no shards."""
@@ -24,15 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarte.llm.blocks import pack, unpack
 from quarte.llm.common import blobs, longs, parts, stage
 from quarte.llm.running import before
 from quarte.llm.tokens import TOKENIZER, groups, words
 
-SHARD = 1 << 18  #: ids in a shard, but for a longer last document
+SHARD = 1 << 20  #: ids in a shard, but for a longer last document
 LEAST = 4  #: times that a pair must be replaced
-GAIN = 0.03  #: share of the sequence that a further round must save
-MAGIC = b"RPG1"
-HEAD = struct.Struct("<4sIQQQQ")  #: magic, first new symbol, documents, ids, rules, symbols
+GAIN = 0.01  #: share of the sequence that a further round must save
+MAGIC = b"RPG2"
+HEAD = struct.Struct("<4sIQQQQQQQ")  #: magic, first new symbol, documents, ids, rules, symbols, bytes of the three lists
 NO_ID = -(2**63)
 
 
@@ -115,33 +117,54 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray
     return symbols
 
 
+def packed(symbols: np.ndarray, bits: int) -> bytes:
+    """Numbers with ``bits`` bits each, lowest first."""
+    places = np.arange(bits, dtype=np.uint32)
+    return np.packbits(((symbols[:, None] >> places) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
+def unpacked(data: np.ndarray, n: int, bits: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint32)
+    found = np.unpackbits(data, count=n * bits, bitorder="little").reshape(n, bits)
+    out = np.zeros(n, np.uint32)
+    for k in range(bits):
+        out |= found[:, k].astype(np.uint32) << np.uint32(k)
+    return out
+
+
 def write_shard(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray) -> bytes:
     first_new = int(ids.max()) + 1 if len(ids) else 0
     symbols, rules, size = compress(ids, first_new)
-    head = HEAD.pack(MAGIC, first_new, len(doc_ids), len(ids), len(rules), len(symbols))
-    arrays = (doc_ids.astype("<i8"), sizes.astype("<i8"), rules.astype("<u4"), size.astype("<u8"), symbols.astype("<u4"))
-    return head + b"".join(a.tobytes() for a in arrays)
+    bits = max(1, (first_new + len(rules)).bit_length())
+    # doc ids rise, so their steps are small; the first may be any number and stands as it is
+    first = doc_ids[:1].astype("<i8").tobytes()
+    lists = [pack(np.diff(doc_ids))[0].tobytes(), pack(sizes)[0].tobytes(), pack(size)[0].tobytes()]
+    head = HEAD.pack(MAGIC, first_new, len(doc_ids), len(ids), len(rules), len(symbols), *map(len, lists))
+    return head + first + b"".join(lists) + packed(rules.ravel(), bits) + packed(symbols, bits)
 
 
 class Shard:
     """A stored shard; ``ids`` decodes any range of it."""
 
     def __init__(self, record: bytes) -> None:
-        magic, self.first_new, docs, self.n_ids, rules, symbols = HEAD.unpack_from(record)
+        magic, self.first_new, docs, self.n_ids, rules, symbols, *edges = HEAD.unpack_from(record)
         if magic != MAGIC:
             raise ValueError("not a grammar shard")
-        at = HEAD.size
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(record, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.doc_ids, self.sizes = take("<i8", docs), take("<i8", docs)
-        self.rules, size = take("<u4", 2 * rules).reshape(-1, 2), take("<u8", rules)
-        self.symbols = take("<u4", symbols)
-        self.upto = np.cumsum(lengths_of(self.symbols, size.astype(np.int64), self.first_new))
+        data, at = np.frombuffer(record, np.uint8), HEAD.size
+        first = np.frombuffer(record, "<i8", min(docs, 1), at)
+        at += first.nbytes
+        lists = []
+        for n in edges:
+            lists.append(unpack(data[at : at + n]))
+            at += n
+        steps, self.sizes, size = lists
+        self.doc_ids = np.concatenate([first, first[:1] + np.cumsum(steps)])
+        bits = max(1, (self.first_new + rules).bit_length())
+        cut = at + -(-2 * rules * bits // 8)
+        self.rules = unpacked(data[at:cut], 2 * rules, bits).reshape(-1, 2)
+        self.symbols = unpacked(data[cut:], symbols, bits)
+        self.upto = np.cumsum(lengths_of(self.symbols, size, self.first_new))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def all(self) -> np.ndarray:
