@@ -1,12 +1,15 @@
 """Derivatives of web archive responses: metadata and plain-text conversion records linked to their source.
 
 A response record (WARC/1.1 header, HTTP header, body) gives two records. Both name the response they come from in
-WARC-Refers-To, with its target, date and payload digest; the metadata record lists the source's own WARC and HTTP
-headers, the title, the links and the ids of its siblings as warc-fields, the conversion record is the page's text.
+WARC-Refers-To, with its target, date and payload digest; the metadata record lists all fields of the source's own WARC and
+HTTP headers in their order, repeated ones included, the title, the links and the ids of its siblings as warc-fields, the conversion record is the page's text.
 Blocks carry SHA-1 digests in base 32. Each record is a gzip member of its own, so members can be joined into files in
 any order and read one by one. Records of a page stay together in one row; rows never depend on each other, so the
 work needs no shuffle and a lost task repeats its own pages.
 
+The body is read as its HTTP header says: chunks are joined, gzip and deflate opened, and the text decoded by the charset of
+the header, else by the page's own meta tag, else as UTF-8. What can't be opened or decoded so is read as it stands.
+
 Defined results: missing or empty html is a response with an empty body; a missing url leaves the target out; equal rows
 give equal records with equal ids; html that is not closed is read as far as it goes; header values never break lines."""
 
@@ -30,13 +33,14 @@ from quarte.llm.common import longs
 DATE = "1970-01-01T00:00:00Z"  #: for pages whose capture time is not known
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  #: of names that are URLs
 END = b"\r\n\r\n"
-KEPT = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type", "Content-Length")
 HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 NO_TEXT = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 LINE = re.compile(
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main"
     r"|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 )
+CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
+META = re.compile(rb"(?i)<meta\b[^>]*?charset\s*=\s*[\"']?([\w.:-]+)")
 TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
 LINK = re.compile(r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -61,19 +65,77 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def fields(head: bytes) -> list[tuple[str, str]]:
-    """Named fields of a header, after its first line."""
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    return [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k.strip()]
+    """Named fields of a header in order, after its first line; a line that begins with a space goes on with the one before."""
+    found: list[tuple[str, str]] = []
+    for row in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if row[:1] in (" ", "\t") and found:
+            found[-1] = (found[-1][0], f"{found[-1][1]} {row.strip()}")
+            continue
+        name, _, value = row.partition(":")
+        if name.strip():
+            found.append((name.strip(), value.strip()))
+    return found
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and block of one record; the length given in the header must be there."""
+def first(found: list[tuple[str, str]], name: str) -> str | None:
+    """The first field of a name, in any case of letters."""
+    return next((v for k, v in found if k.lower() == name.lower()), None)
+
+
+def opened(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """All header fields and the block of one record; the length given in the header must be there."""
     head, gap, rest = data.partition(END)
-    found = dict(fields(head))
-    size = int(found.get("Content-Length", -1))
-    if not data.startswith(b"WARC/1.") or not gap or not 0 <= size <= len(rest):
+    found = fields(head)
+    size = first(found, "Content-Length") or "-1"
+    if not data.startswith(b"WARC/1.") or not gap or not size.isdigit() or int(size) > len(rest):
         raise ValueError("not a whole record")
-    return found, rest[:size]
+    return found, rest[: int(size)]
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields, the first of each name, and block of one record."""
+    found, block = opened(data)
+    return dict(reversed(found)), block
+
+
+def unchunked(body: bytes) -> bytes:
+    """Chunks joined; what follows a broken chunk is left as it stands."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return b"".join(out) + body[at:]
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def uncoded(body: bytes, coding: str) -> bytes:
+    """A body without its content coding; as it is where that is unknown or broken."""
+    for kind in reversed([c.strip().lower() for c in coding.split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(kind, ()):
+            try:
+                z = zlib.decompressobj(bits)
+                body = z.decompress(body) + z.flush()
+                break
+            except zlib.error:
+                continue
+    return body
+
+
+def text_of(http: list[tuple[str, str]], body: bytes) -> str:
+    """The page as text."""
+    if "chunked" in (first(http, "Transfer-Encoding") or "").lower():
+        body = unchunked(body)
+    body = uncoded(body, first(http, "Content-Encoding") or "")
+    said = CHARSET.search((first(http, "Content-Type") or "").encode()) or META.search(body[:4096])
+    try:
+        return body.decode(said[1].decode("ascii", "replace") if said else "utf-8", "replace")
+    except (LookupError, ValueError):  # no charset of that name, or one that isn't for text
+        return body.decode("utf-8", "replace")
 
 
 def member(data: bytes) -> bytes:
@@ -110,9 +172,10 @@ def plain_text(html: str) -> str:
 
 def derive(source: bytes) -> tuple[bytes, bytes]:
     """Metadata and conversion record of a response record."""
-    head, block = parse(source)
+    every, block = opened(source)
+    head = dict(reversed(every))
     http, _, body = block.partition(END)
-    html = body.decode("utf-8", "replace")
+    html = text_of(fields(http), body)
     own, payload = head["WARC-Record-ID"], digest(body)
     ids = record_id("metadata", own), record_id("conversion", own)
     target = [("WARC-Target-URI", head["WARC-Target-URI"])] if "WARC-Target-URI" in head else []
@@ -122,7 +185,7 @@ def derive(source: bytes) -> tuple[bytes, bytes]:
     title = TITLE.search(html)
     base = head.get("WARC-Target-URI", "")
     links = [safe_join(base, unescape(m[1] or m[2] or m[3] or "")) for m in LINK.finditer(HIDDEN.sub(" ", html))]
-    facts = [(f"source-{k}", head[k]) for k in KEPT if k in head]
+    facts = [(f"source-{k}", v) for k, v in every]
     facts += [("source-HTTP-Status", http.split(b"\r\n")[0].decode("utf-8", "replace"))]
     facts += [(f"source-HTTP-{k}", v) for k, v in fields(http)]
     facts += [("payload-digest", payload), ("digest-matches", str(head.get("WARC-Payload-Digest") == payload).lower())]
