@@ -118,3 +118,17 @@ def test_names_inside_an_article_leave_text_alone(inside):
 def test_blocks_of_such_words_stay_out_of_the_article(name):
     page = f'<body><article><p>The first paragraph.</p><div class="{name}"><p>Not this.</p></div><p>The last one.</p></article></body>'
     assert Page(page).text(None) == "The first paragraph.\nThe last one."
+
+
+def test_hosts_whose_paths_tie_give_one_answer(spark):
+    """Two templates with as many votes each: whichever wins, all rows of the same page give the same text, in any order."""
+    say = "Some running text of the page that is long enough to count. "
+    page = lambda name, other: f"<body><div class='{name}'><p>{say * 3}</p></div><div class='{other}'><p>{say}</p></div></body>"
+    rows = [(1, "http://h.org/1", page("first", "second")), (2, "http://h.org/2", page("second", "first"))] * 3
+    found = set()
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame([(*r, "p", "h") for r in rows], SCHEMA).repartition(parts)
+        texts = {(r.page_id, r.text) for r in html.main_text(df).collect()}
+        assert len(texts) == 2
+        found.add(frozenset(texts))
+    assert len(found) == 1

@@ -109,3 +109,18 @@ def test_linked_sets_share_a_tile_and_pass_the_bound(n, data):
         assert np.intersect1d(jaccard.tile_keys(a), jaccard.tile_keys(b)).size
         bits = [np.frombuffer(jaccard.bitmap(x), np.uint64) for x in (a, b)]
         assert jaccard.can_link(*bits, len(a), len(b))
+
+
+def test_very_long_texts_and_words(spark):
+    """Texts of a hundred thousand words, and words beyond 4,096 bytes that differ in their last character only."""
+    r = random.Random(4)
+    words = [f"v{r.randrange(50_000)}" for _ in range(100_000)]
+    near = [f"u{i}" if i % 47 == 0 else w for i, w in enumerate(words)]
+    far = [f"u{i}" if i % 30 == 0 else w for i, w in enumerate(words)]
+    long_word = "é" * 5000
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, long_word + "a"), (5, long_word + "b"), (6, long_word + "a")]
+    rows += [(7, f"{long_word}a b c d e"), (8, f"{long_word}A b c d e"), (9, f"{long_word}b b c d e")]
+    df = spark.createDataFrame([(*x, "c") for x in rows], SCHEMA).repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df).collect()}
+    assert {i: c for i, (_, c) in got.items()} == brute(rows)
+    assert all(got[i][0] == len(shingle_set(t)) for i, t in rows)

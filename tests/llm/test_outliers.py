@@ -29,6 +29,11 @@ def test_statistics(text):
     assert outliers.text_stats(text.encode()) == plain(text)
 
 
+@pytest.mark.parametrize("text", ["word " * 200_000, "\n".join(f"l{i % 900} x{i} y" for i in range(60_000)), "é" * 300_000 + " b\n" + "c" * 5000, "# | " * 100_000])
+def test_statistics_of_very_long_texts(text):
+    assert outliers.text_stats(text.encode()) == plain(text)
+
+
 @pytest.mark.parametrize("x,k,p", [(3.841459, 1, 0.95), (11.0705, 5, 0.95), (30.856, 5, 0.99999), (18.475, 7, 0.99)])
 def test_chi_square(x, k, p):
     assert outliers.chi2_cdf(x, k) == pytest.approx(p, abs=1e-5)

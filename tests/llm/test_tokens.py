@@ -122,3 +122,25 @@ def test_differencing_is_nearly_equal():
     m = -(-int(sizes.sum()) // 4096)
     window, loads = packing.spread(sizes, m)
     assert (np.bincount(window, sizes, m) == loads).all() and loads.max() - loads.min() < 200
+
+
+def test_ranges_of_a_stored_table_are_decoded(spark, monkeypatch):
+    """Any range of a document's ids comes out of the stored shards, without expanding the rest."""
+    monkeypatch.setattr(grammar, "SHARD", 2000)
+    rows = table()
+    stored = stage(grammar.shards(spark.createDataFrame([(*r, "s", "b") for r in rows], SCHEMA).repartition(3))).collect()
+    held = {}
+    for row in stored:
+        s = grammar.Shard(bytes(row.record))
+        for doc, start, n in zip(s.doc_ids.tolist(), s.starts.tolist(), s.sizes.tolist(), strict=True):
+            held.setdefault(doc, []).append((s, start, n))
+    assert len(stored) > 2
+    for doc, text in rows[:70:7]:
+        want = direct([text])[0].tolist()
+        pieces = held[doc]
+        if len(pieces) > 1:
+            continue  # a doc_id of several rows
+        s, start, n = pieces[0]
+        assert n == len(want)
+        for a in range(0, n, max(1, n // 5)):
+            assert s.ids(start + a, min(17, n - a)).tolist() == want[a : a + 17]
