@@ -6,6 +6,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "gradient", "run_islands", "interp_gaps", "pauses_fps30", "asof_nearest_ts", "seq_dedup", "phrase_log_fps30",
     "match_record", "message_ingest", "contact_candidates", "pose_scan", "match_lifecycle", "dedup_stream",
+    "debounce", "serial_stream", "serial_counters", "sheet_scan_filled", "prediction_sink_forms", "oracle_compare", "contact_case",
 )
 
 
