@@ -73,7 +73,7 @@ def _filled(a: str) -> str:
     back, ahead = f"{over} UNBOUNDED PRECEDING AND CURRENT ROW)", f"{over} CURRENT ROW AND UNBOUNDED FOLLOWING)"
     at = f"CASE WHEN {a} IS NOT NULL THEN frame END IGNORE NULLS"
     bf, bv, af, av = f"last_value({at}) {back}", f"last_value({a} IGNORE NULLS) {back}", f"first_value({at}) {ahead}", f"first_value({a} IGNORE NULLS) {ahead}"
-    return f"{v.rnd(f'coalesce({a}, {bv} + ({av} - {bv}) * (frame - {bf}) / ({af} - {bf}), {bv}, {av}, 0)')} AS {a}"
+    return f"{v.rnd(f'coalesce({a}, {bv} + ({av} - {bv}) * (frame - {bf}) / ({af} - {bf}), {bv}, {av}, 0)', 9)} AS {a}"
 
 
 @query("sheet_scan_filled", sql(f"SELECT {K}, kp::BIGINT AS kp, {_filled('x')}, {_filled('y')} FROM joints", "joints"))
@@ -82,7 +82,7 @@ def sheet_scan_filled(spark, sf):
     path = shared_path(spark, "sheets")
     tables.write_sheets(src.poses(spark, sf), path)
     rows = motion.fill_all(tables.read_sheets(spark, path), [*SIDE, "kp"], "frame", ["x", "y"])
-    return rows.select(*SIDE, "frame", big("kp").alias("kp"), rnd("x").alias("x"), rnd("y").alias("y"))
+    return rows.select(*SIDE, "frame", big("kp").alias("kp"), rnd("x", 9).alias("x"), rnd("y", 9).alias("y"))
 
 
 @query(
