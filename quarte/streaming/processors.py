@@ -3,7 +3,11 @@
 Rows come in any order inside a micro-batch and, up to the watermark's delay, between micro-batches. A processor puts them
 on its shelf and sets one timer at their latest time. When the watermark has passed it, nothing earlier can come, and the
 rows up to that time are worked on in order of time, as arrays. So results don't depend on the order of files, and a key
-keeps what is still open and nothing else."""
+keeps what is still open and nothing else.
+
+A call into Spark's state costs about a millisecond, however few rows it moves. So keys share ``BUCKETS`` buckets, a bucket
+works on the rows of all its keys at once, and state and timers are the bucket's: rows of a call are one packed array, and
+calls follow buckets and micro-batches, not keys."""
 
 from __future__ import annotations
 
@@ -18,54 +22,94 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ROW = T.StructType([T.StructField("ts", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("idx", T.LongType())])
-OPEN = T.StructType([*ROW.fields, T.StructField("near_ts", T.LongType()), T.StructField("near", T.LongType())])
+PACK = T.StructType([T.StructField("rows", T.BinaryType())])  #: rows of 64-bit numbers, one after the other
+BUCKETS = 1 << 9  #: groups of keys with state of their own
 NONE = -(2**62)  #: time of what isn't there
+KEY, TS, KIND, IDX, NEAR_TS, NEAR = range(6)  #: columns of a row; the last two only of open ones
+
+
+def packed(rows: np.ndarray) -> tuple[bytes]:
+    return (np.ascontiguousarray(rows, np.int64).tobytes(),)
+
+
+def unpacked(state, width: int) -> np.ndarray:
+    """Rows of a list state, in the order they were put there."""
+    return np.frombuffer(b"".join(bytes(r[0]) for r in state.get()), np.int64).reshape(-1, width)
+
+
+def codes(*tables: np.ndarray) -> list[np.ndarray]:
+    """A number for every row of tables of rows, in the order of key and time."""
+    both = np.concatenate([t[:, [KEY, TS]] for t in tables])
+    key, time = (np.unique(both[:, c], return_inverse=True)[1].astype(np.int64) for c in (0, 1))
+    code = key * (len(both) + 1) + time
+    return np.split(code, np.cumsum([len(t) for t in tables])[:-1])
+
+
+def firsts(rows: np.ndarray) -> np.ndarray:
+    """Of rows in order, the first of each key and time."""
+    same = (rows[1:, KEY] == rows[:-1, KEY]) & (rows[1:, TS] == rows[:-1, TS])
+    return rows[np.concatenate([[True], ~same])] if len(rows) else rows
+
+
+def at_place(rows: np.ndarray, place: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row at each place, and whether there is one with the key of ``given``."""
+    if not len(rows):
+        return np.zeros((len(given), rows.shape[1]), np.int64), np.zeros(len(given), bool)
+    met = rows[np.clip(place, 0, len(rows) - 1)]
+    return met, (place >= 0) & (place < len(rows)) & (met[:, KEY] == given[:, KEY])
 
 
 class Ordered(StatefulProcessor):
-    """Rows (ts in milliseconds, kind, idx) of a key in order of time, and rows that stay open."""
+    """Rows (key, ts in milliseconds, kind, idx) of a bucket of keys in order of time, and rows that stay open."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.shelf = handle.getListState("shelf", ROW)
-        self.open = handle.getListState("open", OPEN)
+        self.shelf = handle.getListState("shelf", PACK)
+        self.open = handle.getListState("open", PACK)
+        self.passed = {}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = None
         for pdf in rows:
             pdf = pdf[pdf["idx"].notna()]
             if len(pdf):
-                given = pdf[["ts", "kind", "idx"]].astype("int64")
-                self.shelf.appendList(list(given.itertuples(index=False, name=None)))
-                last = int(given["ts"].max())
+                given = pdf[["key", "ts", "kind", "idx"]].astype("int64").to_numpy()
+                self.shelf.appendValue(packed(given))
+                last = int(given[:, TS].max())
                 latest = last if latest is None else max(latest, last)
         if latest is not None:
-            self.handle.registerTimer(latest)
+            self.handle.registerTimer(self.due(latest))
         return iter([])
 
+    def due(self, latest: int) -> int:
+        """Time at which rows up to ``latest`` are worked on."""
+        return latest
+
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # the watermark may be far beyond this timer, and no batch may follow that would fire one set now
         until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        held = np.array(list(self.shelf.get()), np.int64).reshape(-1, 3)
-        due = held[:, 0] <= until
-        if (~due).any():
-            self.shelf.put([tuple(map(int, r)) for r in held[~due]])
+        if self.passed.get(key, until - 1) >= until:
+            return  # another timer of the bucket has done it
+        self.passed[key] = until
+        held = unpacked(self.shelf, IDX + 1)
+        now = held[:, TS] <= until
+        if not now.all():
+            self.shelf.put([packed(held[~now])])
         elif len(held):
             self.shelf.clear()
-        now = held[due]
-        now = now[np.lexsort((now[:, 2], now[:, 1], now[:, 0]))]
-        opened = np.array(list(self.open.get()), np.int64).reshape(-1, 5)
-        out, left = self.work(key, now, opened, until)
+        rows = held[now]
+        rows = rows[np.lexsort((rows[:, IDX], rows[:, KIND], rows[:, TS], rows[:, KEY]))]
+        opened = unpacked(self.open, NEAR + 1)
+        out, left = self.work(rows, opened, until)
         if len(left):
-            self.open.put([tuple(map(int, r)) for r in left])
+            self.open.put([packed(left)])
         elif len(opened):
             self.open.clear()
         if len(out):
             yield out
 
-    def work(self, key: Any, rows: np.ndarray, opened: np.ndarray, until: int) -> tuple[pd.DataFrame, np.ndarray]:
-        """Output rows and what stays open, from rows in order, open rows, and the time that has passed."""
+    def work(self, rows: np.ndarray, opened: np.ndarray, until: int) -> tuple[pd.DataFrame, np.ndarray]:
+        """Output rows and what stays open, from rows in order of key and time, open rows, and the time that has passed."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -84,37 +128,36 @@ class ResultTimer(Ordered):
     def __init__(self, limit: int) -> None:
         self.limit = limit
 
-    def work(self, key, rows, opened, until):
-        ends = np.concatenate([opened, np.pad(rows[rows[:, 1] == self.END], ((0, 0), (0, 2)))])
-        results = rows[rows[:, 1] == self.RESULT]
-        results = results[np.concatenate([[True], np.diff(results[:, 0]) > 0])] if len(results) else results
-        at = np.searchsorted(results[:, 0], ends[:, 0])
-        has = at < len(results)
-        met = results[np.minimum(at, len(results) - 1)] if len(results) else np.zeros((len(ends), 3), np.int64)
-        wait = np.where(has, met[:, 0] - ends[:, 0], self.limit + 1)
+    def work(self, rows, opened, until):
+        ends = np.concatenate([opened, np.pad(rows[rows[:, KIND] == self.END], ((0, 0), (0, 2)))])
+        results = firsts(rows[rows[:, KIND] == self.RESULT])
+        from_end, found = codes(ends, results)
+        met, has = at_place(results, np.searchsorted(found, from_end), ends)
+        wait = np.where(has, met[:, TS] - ends[:, TS], self.limit + 1)
         late = wait > self.limit
-        over = late & (has | (ends[:, 0] + self.limit < until))  # its timer has fired, or would have before the result
-        warned = ends[:, 3] == 1
+        over = late & (has | (ends[:, TS] + self.limit < until))  # its timer has fired, or would have before the result
+        warned = ends[:, NEAR_TS] == 1
         said = {"in_time": has & ~late, "timeout": over & ~warned, "backfill": has & late}
-        parts = [self._said(key[0], ends[m], word, met[m], wait[m]) for word, m in said.items()]
+        parts = [self._said(ends[m], word, met[m], wait[m]) for word, m in said.items()]
         left = ends[~has].copy()
-        left[:, 3] = np.where(over[~has], 1, left[:, 3])
-        for t in np.unique(left[left[:, 3] == 0][:, 0]):
-            self.handle.registerTimer(int(t) + self.limit + 1)
+        left[:, NEAR_TS] = np.where(over[~has], 1, left[:, NEAR_TS])
+        waiting = left[left[:, NEAR_TS] == 0]
+        if len(waiting):  # the next ones get theirs when this one fires
+            self.handle.registerTimer(int(waiting[:, TS].min()) + self.limit + 1)
         parts = [p for p in parts if len(p)]
         return (pd.concat(parts) if parts else []), left
 
-    def _said(self, user, ends, word, met, wait):
+    def _said(self, ends, word, met, wait):
         shown = word != "timeout"
-        cols = {"user_id": user, "event_id": ends[:, 2], "said": word, "result_id": met[:, 2], "wait_ms": wait}
+        cols = {"user_id": ends[:, KEY], "event_id": ends[:, IDX], "said": word, "result_id": met[:, IDX], "wait_ms": wait}
         out = pd.DataFrame(cols, index=range(len(ends)))
         return out if shown else out.assign(result_id=pd.array([None] * len(out), "Int64"), wait_ms=pd.array([None] * len(out), "Int64"))
 
 
 class Nearest(Ordered):
     """The nearest frame of each signal no more than ``bound`` away, the earlier one on a tie: kind 0 is a frame, kind 1 a
-    signal. A signal is open until a frame at or after it has come or ``bound`` has passed; the key keeps its open signals,
-    each with the frame before it, and its latest frame."""
+    signal. A signal is open until a frame at or after it has come or ``bound`` has passed; what stays are the open signals,
+    each with the frame before it, and the latest frame of a key while a signal to come may be near it."""
 
     FRAME, SIGNAL = 0, 1
     OUTPUT = "user_id long, idx long, frame long"
@@ -122,33 +165,32 @@ class Nearest(Ordered):
     def __init__(self, bound: int) -> None:
         self.bound = bound
 
-    def work(self, key, rows, opened, until):
-        latest = opened[opened[:, 1] == self.FRAME]
-        frames = np.concatenate([latest[:, [0, 1, 2]], rows[rows[:, 1] == self.FRAME]])
-        # of frames at the same time the smallest idx counts; rows are in order
-        frames = frames[np.lexsort((frames[:, 2], frames[:, 0]))]
-        frames = frames[np.concatenate([[True], np.diff(frames[:, 0]) > 0])] if len(frames) else frames
-        new = rows[rows[:, 1] == self.SIGNAL]
-        before = np.searchsorted(frames[:, 0], new[:, 0], "right") - 1
-        near = frames[np.maximum(before, 0)] if len(frames) else np.zeros((len(new), 3), np.int64)
-        fits = (before >= 0) & (new[:, 0] - near[:, 0] <= self.bound)
-        new = np.column_stack([new, np.where(fits, near[:, 0], NONE), near[:, 2]])
-        signals = np.concatenate([opened[opened[:, 1] == self.SIGNAL], new])
-        after = np.searchsorted(frames[:, 0], signals[:, 0])
-        has = after < len(frames)
-        following = frames[np.minimum(after, len(frames) - 1)] if len(frames) else np.zeros((len(signals), 3), np.int64)
-        ahead = np.where(has, following[:, 0] - signals[:, 0], self.bound + 1)
-        back = np.where(signals[:, 3] == NONE, self.bound + 1, signals[:, 0] - signals[:, 3])
-        done = has | (signals[:, 0] + self.bound < until)
-        frame = np.where(back <= ahead, signals[:, 4], following[:, 2])
+    def work(self, rows, opened, until):
+        latest = opened[opened[:, KIND] == self.FRAME]
+        frames = np.concatenate([latest[:, : IDX + 1], rows[rows[:, KIND] == self.FRAME]])
+        # of frames at the same time the smallest idx counts
+        frames = firsts(frames[np.lexsort((frames[:, IDX], frames[:, TS], frames[:, KEY]))])
+        new = rows[rows[:, KIND] == self.SIGNAL]
+        at, mine = codes(frames, new)
+        near, fits = at_place(frames, np.searchsorted(at, mine, "right") - 1, new)
+        fits &= new[:, TS] - near[:, TS] <= self.bound
+        new = np.column_stack([new, np.where(fits, near[:, TS], NONE), near[:, IDX]])
+        signals = np.concatenate([opened[opened[:, KIND] == self.SIGNAL], new])
+        at, mine = codes(frames, signals)
+        following, has = at_place(frames, np.searchsorted(at, mine), signals)
+        ahead = np.where(has, following[:, TS] - signals[:, TS], self.bound + 1)
+        back = np.where(signals[:, NEAR_TS] == NONE, self.bound + 1, signals[:, TS] - signals[:, NEAR_TS])
+        done = has | (signals[:, TS] + self.bound < until)
+        frame = np.where(back <= ahead, signals[:, NEAR], following[:, IDX])
         found = np.minimum(back, ahead) <= self.bound
-        out = pd.DataFrame({"user_id": key[0], "idx": signals[done, 2], "frame": pd.array(frame[done], "Int64")}, index=range(int(done.sum())))
+        out = pd.DataFrame({"user_id": signals[done, KEY], "idx": signals[done, IDX], "frame": pd.array(frame[done], "Int64")}, index=range(int(done.sum())))
         out.loc[~found[done], "frame"] = pd.NA
         left = signals[~done]
-        if len(left):
-            self.handle.registerTimer(int(left[:, 0].max()) + self.bound + 1)
-        last = np.pad(frames[-1:], ((0, 0), (0, 2)))
-        return out, np.concatenate([left, last])
+        if len(left):  # the next ones get theirs when this one fires
+            self.handle.registerTimer(int(left[:, TS].min()) + self.bound + 1)
+        last = frames[np.append(frames[1:, KEY] != frames[:-1, KEY], True)] if len(frames) else frames
+        last = last[last[:, TS] + self.bound >= until]
+        return out, np.concatenate([left, np.pad(last, ((0, 0), (0, 2)))])
 
 
 class Gate(StatefulProcessor):
@@ -190,26 +232,42 @@ class Gate(StatefulProcessor):
 
 class Routing(Ordered):
     """Messages of matches that were started and never cancelled: kind 0 is a message, 1 also starts its match, 2 also
-    cancels it. A match is over when nothing has come for ``idle``; its messages wait until then."""
+    cancels it. A match is over when nothing has come for ``idle``; its messages wait until then.
+
+    Waiting messages stay packed on the shelf. They are looked at when an eighth of ``idle`` ends, so that a message is
+    moved a few times and no more, however many micro-batches come meanwhile."""
 
     MESSAGE, START, CANCEL = 0, 1, 2
+    LOOKS = 8
     OUTPUT = "match_id long, idx long"
 
     def __init__(self, idle: int) -> None:
         self.idle = idle
 
-    def work(self, key, rows, opened, until):
-        held = np.concatenate([opened, np.pad(rows, ((0, 0), (0, 2)))])
+    def due(self, latest):
+        step = max(1, self.idle // self.LOOKS)
+        return -(-(latest + self.idle + 1) // step) * step
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        if self.passed.get(key, until - 1) >= until:
+            return
+        self.passed[key] = until
+        held = unpacked(self.shelf, IDX + 1)
         if not len(held):
-            return [], held
-        last = int(held[:, 0].max())
-        if last + self.idle >= until:
-            self.handle.registerTimer(last + self.idle + 1)
-            return [], held
-        kinds = set(held[:, 1].tolist())
-        passes = self.START in kinds and self.CANCEL not in kinds
-        idx = held[:, 2] if passes else held[:0, 2]
-        return pd.DataFrame({"match_id": key[0], "idx": idx}, index=range(len(idx))), held[:0]
+            return
+        held = held[np.argsort(held[:, KEY], kind="stable")]
+        first = np.flatnonzero(np.append(True, held[1:, KEY] != held[:-1, KEY]))
+        rows = np.diff(np.append(first, len(held)))
+        over = np.repeat(np.maximum.reduceat(held[:, TS], first) + self.idle < until, rows)
+        starts, cancels = (np.add.reduceat((held[:, KIND] == k).astype(np.int64), first) > 0 for k in (self.START, self.CANCEL))
+        out = held[over & np.repeat(starts & ~cancels, rows)]
+        if not over.all():
+            self.shelf.put([packed(held[~over])])
+        else:
+            self.shelf.clear()
+        if len(out):
+            yield pd.DataFrame({"match_id": out[:, KEY], "idx": out[:, IDX]})
 
 
 def timed(rows: DataFrame, key: str, at: str, delay: str, processor: StatefulProcessor) -> DataFrame:
@@ -218,7 +276,9 @@ def timed(rows: DataFrame, key: str, at: str, delay: str, processor: StatefulPro
     Keyed state of this kind needs the RocksDB store, so the setting is made where another store is set."""
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.withWatermark(at, delay).groupBy(key).transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    dealt = rows.withWatermark(at, delay).select(bucket.alias("bucket"), F.col(key).alias("key"), at, "ts", "kind", "idx")
+    return dealt.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 
