@@ -73,9 +73,11 @@ def bone_medians(wide: DataFrame) -> DataFrame:
     return middle(_long(lengths, names), [*SIDE, "measure"], F.col("v"), "med")
 
 
-def outlier_limit(values: DataFrame, keys: list[str], floor: Column) -> DataFrame:
-    """max(floor, 3 medians, median + 4 median absolute deviations) per key."""
-    med = middle(values, keys, F.col("v"), "med")
+def outlier_limit(values: DataFrame, keys: list[str], floor: Column, med: DataFrame | None = None) -> DataFrame:
+    """max(floor, 3 medians, median + 4 median absolute deviations) per key.
+
+    The medians are read twice, so they are a stored table; one at hand may be given."""
+    med = stage(middle(values, keys, F.col("v"), "med")) if med is None else med
     spread = spread_join(values, med, keys, F.col("v")).withColumn("v", F.abs(F.col("v") - F.col("med")))
     mad = middle(spread, keys, F.col("v"), "mad")
     both = med.join(mad, keys)
@@ -87,9 +89,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
     moves = [f"{m}_{k}" for m in ("in", "pred") for k in TARGETS]
     floor = F.when(F.col("measure").startswith("in_"), STEP_FLOOR).otherwise(PRED_FLOOR)
     keys = [*SIDE, "measure"]
-    limits = outlier_limit(_long(measured, moves), keys, floor).select(*keys, F.col("limit").alias("v"))
     lengths = [f"len_{a}_{b}" for a, b in ALL_BONES]
-    meds = middle(_long(measured, lengths), keys, F.col("v"), "v")
+    med = stage(middle(_long(measured, moves + lengths), keys, F.col("v"), "med"))
+    is_length = F.col("measure").isin(lengths)
+    limits = outlier_limit(_long(measured, moves), keys, floor, med.where(~is_length)).select(*keys, F.col("limit").alias("v"))
+    meds = med.where(is_length).withColumnRenamed("med", "v")
     picks = [F.max(F.when(F.col("measure") == n, F.col("v"))).alias(f"lim_{n}") for n in moves + lengths]
     return limits.unionByName(meds).groupBy(*SIDE).agg(*picks)
 
