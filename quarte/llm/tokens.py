@@ -10,6 +10,8 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -17,9 +19,10 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 CACHE, PARTS = 500_000, 400_000  #: words, and parts of words, kept at most
 TOGETHER = 4096  #: parts that the library gets as one text
-#: The split pattern of the tokenizer file, for lower-cased ASCII and Latin-1 letters.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+#: The split pattern of the tokenizer file, for lower-cased ASCII and Latin-1 letters; a space parts words.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9 ]+| ")
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PLAINS = re.compile(r"[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,24 +31,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Places(dict):
+class Places(defaultdict):
     """Numbers of words; a word not seen before gets the next number and is noted as new."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.new: list = []
+        super().__init__(count().__next__)
+        self.known = 0
 
-    def __missing__(self, word) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, words, n: int | None = None) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words) if n is None else n)
 
     def noted(self) -> list:
-        new, self.new = self.new, []
-        return new
+        new = list(islice(reversed(self), len(self) - self.known))
+        self.known = len(self)
+        return new[::-1]
 
 
 class Runs:
@@ -72,6 +71,40 @@ class Runs:
         return self.ids[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])], upto
 
 
+class Cache:
+    """Numbers, ids and uses of words. Beyond its bound, what was used once goes, and at most half of it stays."""
+
+    def __init__(self, most: int, first: tuple = ()) -> None:
+        self.most, self.first = most, first
+        self.place, self.runs, self.times = Places(), Runs(), np.zeros(0, np.int64)
+        self.put(first, Runs()(np.zeros(0, np.int64))[0], np.zeros(len(first), np.int64))
+
+    def put(self, words, ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.of(words)
+        self.place.noted()
+        self.runs.add(ids, size)
+
+    def trim(self) -> None:
+        if len(self.place) <= self.most:
+            return
+        first = len(self.first)
+        times = self.times[first:]
+        stay = np.flatnonzero(times > 1)
+        if len(stay) > self.most // 2:
+            stay = np.sort(np.argpartition(times, -(self.most // 2))[-(self.most // 2) :])
+        words, at = list(self.place), np.concatenate([np.arange(first), stay + first])
+        ids, upto = self.runs(at)
+        self.place, self.runs, self.times = Places(), Runs(), self.times[at] // 2
+        self.put([words[k] for k in at.tolist()], ids, np.diff(upto))
+
+    def of(self, words, n: int) -> np.ndarray:
+        at = self.place.of(words, n)
+        times = np.bincount(at, minlength=len(self.place))
+        times[: len(self.times)] += self.times
+        self.times = times
+        return at
+
+
 class Words:
     """Ids of texts; ``path`` is a tokenizer file whose words end at ASCII white space."""
 
@@ -83,15 +116,14 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.place, self.of_word = Places(), Runs()
-        self.part, self.of_part = Places(), Runs()
+        self.word, self.part = Cache(CACHE), Cache(PARTS, (" ",))
 
     def library(self, words: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(f.ids, np.uint32) for f in found]
 
     def learn_parts(self) -> None:
-        new = self.part.noted()
+        new = self.part.place.noted()
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
             ids = self.library([" ".join(some)])[0]
@@ -99,37 +131,39 @@ class Words:
             if len(size) != len(some) or size.sum() != len(ids):
                 each = self.library(some)
                 ids, size = np.concatenate(each), np.array([len(e) for e in each])
-            self.of_part.add(ids, size)
-
-    def learn(self) -> None:
-        """Ids of the words noted as new, in the order of their numbers."""
-        words = [w.decode() for w in self.place.noted()]
-        cut = [SPLIT.findall(w.lower()) if (w.isascii() or PLAIN.fullmatch(w)) and "<|" not in w else None for w in words]
-        parts = [p for ps in cut if ps for p in ps]
-        at = self.part.of(parts)
+            self.part.runs.add(ids, size)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of new words, in the order of their numbers."""
+        text, odd = b" ".join(new).decode(), []
+        if "<|" in text or not PLAINS.fullmatch(text):
+            words = text.split(" ")
+            odd = [k for k, w in enumerate(words) if "<|" in w or not PLAIN.fullmatch(w)]
+            found = self.library([words[k] for k in odd])
+            for k in odd:
+                words[k] = ""
+            text = " ".join(words)
+        parts = SPLIT.findall(text.lower())
+        at = self.part.of(parts, len(parts))
         self.learn_parts()
-        ids, upto = self.of_part(at)
-        ends = upto[np.cumsum([len(ps) if ps else 0 for ps in cut])]
+        ids, upto = self.part.runs(at)
+        ends = upto[np.append(np.flatnonzero(at == 0), len(at))]
         size = np.diff(ends, prepend=0)
-        odd = [k for k, ps in enumerate(cut) if ps is None]
         if odd:
-            found = self.library([words[k] for k in odd])
             ids = np.insert(ids, np.repeat(ends[odd], [len(f) for f in found]), np.concatenate(found))
             size[odd] = [len(f) for f in found]
-        self.of_word.add(ids, size)
+        self.word.runs.add(ids, size)
 
     def encode(self, texts: list[bytes], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end``, and the number of ids of each text."""
         split = [t.split() for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
-        if len(self.place) > CACHE:
-            self.place, self.of_word = Places(), Runs()
-        if len(self.part) > PARTS:
-            self.part, self.of_part = Places(), Runs()
-        at = self.place.of([w for s in split for w in s])
-        if self.place.new:
-            self.learn()
-        ids, upto = self.of_word(at)
+        self.word.trim()
+        self.part.trim()
+        at = self.word.of(chain.from_iterable(split), counts.sum())
+        if new := self.word.place.noted():
+            self.learn(new)
+        ids, upto = self.word.runs(at)
         edge = upto[np.concatenate([[0], np.cumsum(counts)])]
         if end is None:
             return ids, np.diff(edge)

@@ -38,6 +38,21 @@ def test_words_equal_the_library(texts):
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_words_in_use_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    monkeypatch.setattr(tokens, "PARTS", 40)
+    coder = tokens.Words(tokens.tokenizer_path(tokens.TOKENIZER))
+    learned, library = [], coder.library
+    monkeypatch.setattr(coder, "library", lambda words: learned.extend(" ".join(words).split()) or library(words))
+    for k in range(30):
+        texts = [" ".join(f"often frequent! {chr(97 + k % 26)}{chr(97 + i)}{chr(97 + k // 26)}x \u03c3{k}" for i in range(15))] + ODD[:3]
+        ids, n = coder.encode([(t or "").encode() for t in texts])
+        want = direct(texts)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert learned.count("often") == learned.count("frequent") == 1
+    assert len(coder.word.place) <= 40 + 30
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=300), st.data())
 def test_grammar_round_trip(ids, data):
