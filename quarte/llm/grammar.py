@@ -105,22 +105,29 @@ def lengths_of(symbols: np.ndarray, size: np.ndarray, first_new: int) -> np.ndar
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first_new: int) -> np.ndarray:
-    while (new := symbols >= first_new).any():
-        step = 1 + new
-        start = np.cumsum(step) - step
-        out = np.empty(step.sum(), np.uint32)
-        out[start] = symbols
+def expand(symbols: np.ndarray, rules: np.ndarray, first_new: int, size: np.ndarray) -> np.ndarray:
+    """Ids of symbols; ``size`` has the lengths of the rules, so that every symbol is written at its place at once and
+    only those with a rule are looked at again."""
+    n = lengths_of(symbols, size, first_new)
+    place = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.uint32)
+    while True:
+        new = symbols >= first_new
+        # what still has a rule is written too, and overwritten by its first symbol later
+        out[place] = symbols
+        if not new.any():
+            return out
+        place = place[new]
         pair = rules[symbols[new].astype(np.int64) - first_new]
-        out[start[new]], out[start[new] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+        place = np.concatenate([place, place + lengths_of(pair[:, 0], size, first_new)])
+        symbols = pair.T.ravel()
 
 
 def packed(symbols: np.ndarray, bits: int) -> bytes:
     """Numbers with ``bits`` bits each, lowest first."""
-    places = np.arange(bits, dtype=np.uint32)
-    return np.packbits(((symbols[:, None] >> places) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+    raw = symbols.astype("<u4").view(np.uint8).reshape(-1, 4)
+    places = np.unpackbits(raw, axis=1, count=bits, bitorder="little")
+    return np.packbits(places.ravel(), bitorder="little").tobytes()
 
 
 def unpacked(data: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -164,17 +171,18 @@ class Shard:
         cut = at + -(-2 * rules * bits // 8)
         self.rules = unpacked(data[at:cut], 2 * rules, bits).reshape(-1, 2)
         self.symbols = unpacked(data[cut:], symbols, bits)
+        self.size = size
         self.upto = np.cumsum(lengths_of(self.symbols, size, self.first_new))
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first_new)
+        return expand(self.symbols, self.rules, self.first_new, self.size)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         if not n:
             return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self.upto, [start, start + n - 1], "right")
-        got = expand(self.symbols[a : b + 1], self.rules, self.first_new)
+        got = expand(self.symbols[a : b + 1], self.rules, self.first_new, self.size)
         skip = start - (self.upto[a - 1] if a else 0)
         return got[skip : skip + n]
 

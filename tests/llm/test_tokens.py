@@ -159,3 +159,11 @@ def test_ranges_of_a_stored_table_are_decoded(spark, monkeypatch):
         assert n == len(want)
         for a in range(0, n, max(1, n // 5)):
             assert s.ids(start + a, min(17, n - a)).tolist() == want[a : a + 17]
+
+
+def test_nested_rules_are_written_at_their_places():
+    rules = np.array([[1, 2], [10, 10], [11, 3]], np.uint32)
+    symbols = np.array([12, 4, 10, 12, 11], np.uint32)
+    four = [1, 2, 1, 2]
+    assert grammar.expand(symbols, rules, 10, np.array([2, 4, 5])).tolist() == [*four, 3, 4, 1, 2, *four, 3, *four]
+    assert grammar.packed(np.array([5, 0, 6], np.uint32), 3) == bytes([0b10000101, 0b1])
