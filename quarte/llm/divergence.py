@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quarte.llm.blocks import Numbers, binary, blocks, pack, unpack
-from quarte.llm.common import for_lanes, in_lanes, join_small, longs, stage, unstage
+from quarte.llm.common import for_lanes, free, in_lanes, join_small, longs, stage, unstage
 
 BLOCK = 1 << 25  #: bytes of text in a block, about
 SPAN = 512  #: tasks of the first pass whose blocks of a term meet in one task
@@ -58,14 +58,15 @@ def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size.append(len(one))
                 ids.append(one.astype(np.int32))
                 times.append(n.astype(np.int32))
-        chunk, doc, n = np.concatenate(ids), np.repeat(np.arange(len(size)), size), np.concatenate(times)
+        chunk, doc, n = np.concatenate(ids), np.repeat(np.arange(len(size), dtype=np.int32), size), np.concatenate(times)
+        ids = times = None
         order = np.argsort(chunk, kind="stable")
         chunk, doc, n = chunk[order], doc[order], n[order]
         head = np.searchsorted(chunk, np.arange(len(place) + 1))
         step = np.diff(doc, prepend=0)
         step[head[:-1]] = doc[head[:-1]]
-        data, begin = pack(np.stack([step, np.concatenate(group)[doc], n], 1).ravel())
-        edge = np.append(begin[0::3], len(data))[head]
+        data, edge = packed(step, np.concatenate(group)[doc], n)
+        edge = edge[head]
         words = list(place)
         for a in range(0, len(words), ROWS):
             b = min(a + ROWS, len(words))
@@ -74,6 +75,17 @@ def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["chunk", "block", "postings"])
 
 
+def packed(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of whole numbers as bytes, packed some rows at a time, and where each begins and the last ends."""
+    data, edges, used = [np.zeros(0, np.uint8)], [], 0
+    for at in range(0, len(columns[0]), ROWS):
+        some, begin = pack(np.stack([c[at : at + ROWS] for c in columns], 1).ravel())
+        data.append(some)
+        edges.append(begin[:: len(columns)] + used)
+        used += len(some)
+    return np.concatenate(data), np.concatenate([*edges, [used]])
+
+
 def starts(column: pa.Array) -> np.ndarray:
     """Where runs of equal values begin."""
     if len(column) < 2:
@@ -236,6 +248,7 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     Part ``pair`` has every other source of the language, part ``term`` the ``top`` terms that the source has more of than
     its language."""
     counts, groups = counted(docs)
+    free(docs.sparkSession)  # the exchanges of the counting are most of the disk
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("_d"), F.sum("n").alias("everywhere")).filter(F.col("_d") >= min_docs).drop("_d")
     kept = stage(kept)
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("everywhere").alias("lang_total"))

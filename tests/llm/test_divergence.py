@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quarte.llm import divergence
 
@@ -81,3 +84,23 @@ def test_many_groups_are_joined_by_a_shuffle(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 200), st.integers(0, 2**40), st.integers(0, 20000)), max_size=40))
+def test_postings_packed_in_parts_are_the_same_bytes(rows):
+    table = np.array(rows, np.int64).reshape(-1, 3)
+    data, begin = divergence.pack(table.ravel())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(divergence, "ROWS", 3)
+        got, edges = divergence.packed(*table.T)
+    assert got.tolist() == data.tolist() and edges.tolist() == [*begin[::3].tolist(), len(data)]
+
+
+def test_exchanges_of_the_counting_are_given_back(spark, monkeypatch):
+    """They are most of the disk, so they go before the shares are made."""
+    seen, stage = [], divergence.stage
+    monkeypatch.setattr(divergence, "free", lambda spark: seen.append("free"))
+    monkeypatch.setattr(divergence, "stage", lambda df: seen.append("stage") or stage(df))
+    divergence.audit(spark.createDataFrame([(1, "a b a", "en", "x", 0, 0)], SCHEMA), 1).collect()
+    assert seen.index("free") == 2 and seen.count("free") == 1 and "stage" in seen[3:]
