@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarte.llm.common import blobs, free, keyed, longs, parts, stage
+from quarte.llm.common import blobs, free, keyed, longs, parts, slices, stage
 from quarte.llm.components import components
 
 WORDS = 5
@@ -184,7 +184,7 @@ def can_link(a: np.ndarray, b: np.ndarray, na, nb):
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, h1, h2, bits = [], [], [], []
         for items in sets_of(blobs(batch.column("text"))):
             n.append(len(items))
@@ -199,7 +199,7 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids = batch.column("doc_id").to_numpy()
         keys, owners, size = [], [], 0
         for doc, items in zip(ids, sets_of(blobs(batch.column("text"))), strict=True):
@@ -244,7 +244,7 @@ def to_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         items = list(sets_of(blobs(batch.column("text"))))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([i.tobytes() for i in items], pa.binary())], names=["doc", "items"]
@@ -259,7 +259,7 @@ def with_sides(pairs: DataFrame, facts: DataFrame, cols: list[str]) -> DataFrame
 
 
 def by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         a, b = batch.column("abits").to_pylist(), batch.column("bbits").to_pylist()
         na, nb = batch.column("an").to_numpy(), batch.column("bn").to_numpy()
         good = [
@@ -270,7 +270,7 @@ def by_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def by_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         good = []
         for x, y in zip(batch.column("aitems").to_pylist(), batch.column("bitems").to_pylist(), strict=True):
             left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -301,7 +301,7 @@ def links(pairs: DataFrame, facts: DataFrame, rows: DataFrame) -> DataFrame:
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of a tile, sorted by unit and size: pairs of different components that the bitmaps do not rule out."""
     unit, held = None, []
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[0] != unit and held:
                 yield compared(held)

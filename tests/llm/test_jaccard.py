@@ -124,3 +124,19 @@ def test_very_long_texts_and_words(spark):
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df).collect()}
     assert {i: c for i, (_, c) in got.items()} == brute(rows)
     assert all(got[i][0] == len(shingle_set(t)) for i, t in rows)
+
+
+def test_long_batches_are_worked_on_in_slices():
+    """A batch of ten thousand texts or sets was turned into objects at once, which took the memory of its worker."""
+    import pyarrow as pa
+
+    n = 3000
+    texts = [f"a b c d {i} e" for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": texts})
+    sets = list(jaccard.to_sets(iter([batch])))
+    assert [b.num_rows for b in sets] == [1024, 1024, 952]
+    items = pa.Table.from_batches(sets).combine_chunks().to_batches()[0].column("items")
+    pairs = pa.RecordBatch.from_arrays([batch.column(0)] * 2 + [items] * 2, names=["a", "b", "aitems", "bitems"])
+    found = list(jaccard.by_items(iter([pairs])))
+    assert max(b.num_rows for b in found) <= 1024 and sum(b.num_rows for b in found) == n
+    assert sum(b.num_rows for b in jaccard.measure(iter([batch]))) == n
