@@ -59,25 +59,32 @@ def dealt(data: DataFrame) -> DataFrame:
 
 def cross_validate(pipeline: Pipeline, data: DataFrame):
     """Model on all rows and its mean accuracy over the folds; all of them are fitted side by side."""
+    return cross_validated([pipeline], data)[0]
+
+
+def cross_validated(pipelines: list[Pipeline], data: DataFrame) -> list[tuple[PipelineModel, float]]:
+    """``cross_validate`` of several pipelines, all fits of all of them side by side on one stored copy of the rows."""
     judge = MulticlassClassificationEvaluator(metricName="accuracy")
     data = dealt(data).persist()
 
-    def fitted(fold: int | None):
+    def fitted(task: tuple[Pipeline, int | None]):
+        pipeline, fold = task
         if fold is None:
             return pipeline.fit(data)
         model = pipeline.fit(data.where(F.col("fold") != fold))
         return judge.evaluate(model.transform(data.where(F.col("fold") == fold)))
 
-    with ThreadPool(FOLDS + 1) as pool:
-        model, *accuracies = pool.map(inheritable_thread_target(data.sparkSession)(fitted), [None, *range(FOLDS)])
+    tasks = [(p, fold) for p in pipelines for fold in (None, *range(FOLDS))]
+    with ThreadPool(len(tasks)) as pool:
+        found = pool.map(inheritable_thread_target(data.sparkSession)(fitted), tasks, 1)
     data.unpersist()
-    return model, sum(accuracies) / FOLDS
+    own = [found[at : at + FOLDS + 1] for at in range(0, len(found), FOLDS + 1)]
+    return [(model, sum(accuracies) / FOLDS) for model, *accuracies in own]
 
 
 def select(data: DataFrame, rounds: int = 100) -> tuple[str, PipelineModel, dict[str, float]]:
     """Boosting when its mean accuracy is at least that of the logistic model."""
-    lr, lr_accuracy = cross_validate(logistic(), data)
-    gbt, gbt_accuracy = cross_validate(boosting(rounds), data)
+    (lr, lr_accuracy), (gbt, gbt_accuracy) = cross_validated([logistic(), boosting(rounds)], data)
     scores = {"logistic": lr_accuracy, "boosting": gbt_accuracy}
     return ("boosting", gbt, scores) if gbt_accuracy >= lr_accuracy else ("logistic", lr, scores)
 

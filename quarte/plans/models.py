@@ -74,9 +74,8 @@ def store_of(spark, sf):
     return f"{checkpoint_dir(spark).rstrip('/')}/quarte-models-{spark.sparkContext.applicationId}-{name}"
 
 
-def trained(spark, sf):
+def trained(spark, sf, data):
     """Both models compared, the better one stored with the accuracies of both."""
-    data = samples(spark, sf)
     name, model, scores = learn.select(data)
     learn.save(model, store_of(spark, sf), name, scores, data.count())
 
@@ -84,7 +83,7 @@ def trained(spark, sf):
 @query("ml_select")
 def ml_select(spark, sf):
     """What the store says of the model that was chosen."""
-    trained(spark, sf)
+    trained(spark, sf, samples(spark, sf))
     _, entry = learn.load(spark, store_of(spark, sf))
     rows = [(k, entry[k], entry["model"] == k, entry["rows"]) for k in ("logistic", "boosting")]
     return spark.createDataFrame(rows, "model string, accuracy double, chosen boolean, rows long")
@@ -93,7 +92,8 @@ def ml_select(spark, sf):
 @query("ml_score")
 def ml_score(spark, sf):
     """Sides by the stored model; one is trained where the store has none."""
+    data = samples(spark, sf)
     if learn.entries(spark, store_of(spark, sf)) is None:
-        trained(spark, sf)
+        trained(spark, sf, data)
     model, _ = learn.load(spark, store_of(spark, sf))
-    return learn.score(model, samples(spark, sf), F.lit("right"))
+    return learn.score(model, data, F.lit("right"))
