@@ -56,6 +56,24 @@ def winners(rank: np.ndarray) -> np.ndarray:
     return np.concatenate([single, inside])
 
 
+def distinct(key: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in rising order, the number of each key's, and how often each stands; equal keys share a group. Mostly
+    a group holds one key, so few keys are sorted."""
+    last = np.zeros(groups, np.uint64)
+    last[group] = key
+    other = np.flatnonzero(last[group] != key)
+    more, at_more = np.unique(key[other], return_inverse=True)
+    at = group.copy()
+    at[other] = groups + at_more
+    used = np.bincount(at, minlength=groups + len(more))
+    held = np.flatnonzero(used)
+    keys = np.concatenate([last, more])[held]
+    rising = np.argsort(keys)
+    number = np.empty(len(used), np.int64)
+    number[held[rising]] = np.arange(len(held))
+    return keys[rising], number[at], used[held[rising]]
+
+
 def replace_round(seq: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray]:
     """One round over a sequence: the shorter sequence and the pairs behind its new symbols.
 
@@ -67,10 +85,13 @@ def replace_round(seq: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarr
     bits = max(8, len(a).bit_length())
     slot = ((a * np.uint32(0x9E3779B1)) ^ ((b * np.uint32(0x85EBCA6B)) >> np.uint32(7)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
     times = np.bincount(slot, minlength=1 << bits)
-    order = np.where(times >= LEAST, (times << bits) | np.arange(1 << bits), 0)
+    held = np.flatnonzero(times >= LEAST)
+    order = np.zeros(1 << bits, np.int64)
+    order[held] = (times[held] << bits) | held
     place = winners(order[slot])
     key = (a[place].astype(np.uint64) << np.uint64(32)) | b[place]
-    pair, at, used = np.unique(key, return_inverse=True, return_counts=True)
+    order[held] = np.arange(len(held))
+    pair, at, used = distinct(key, order[slot[place]], len(held))
     often = used >= LEAST
     place, at = place[often[at]], at[often[at]]
     if not len(place):

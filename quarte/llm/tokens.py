@@ -1,9 +1,11 @@
 """Token ids of whole texts by a word-level BPE tokenizer file, word by word.
 
 White space separates what the tokenizer sees, so ids are looked up per distinct word: the tokenizers library encodes
-each word once, in a bounded cache, and texts are put together from the cached ids. Words of ASCII and Latin-1 letters
-are further cut at the tokenizer's own split pattern, so that punctuation does not make words distinct; their parts are
-encoded together, as each part ends with a token that ends a word."""
+each word once, in a bounded cache, and texts are put together from the cached ids. Arrow cuts a slice of texts into words
+and finds the distinct ones, so that only those are looked up. Words of ASCII and Latin-1 letters are further cut at the
+tokenizer's own split pattern, so that punctuation does not make words distinct; their parts are lower-cased and composed
+already, so the library encodes them by the tokenizer's model and byte letters alone, many at once, as each part ends with a
+token that ends a word."""
 
 from __future__ import annotations
 
@@ -11,14 +13,16 @@ import functools
 import os
 import re
 from collections import defaultdict
-from itertools import chain, count, islice
+from itertools import count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 CACHE, PARTS = 500_000, 400_000  #: words, and parts of words, kept at most
-TOGETHER = 4096  #: parts that the library gets as one text
+TOGETHER = 512  #: parts that the library gets as one text
 #: The split pattern of the tokenizer file, for lower-cased ASCII and Latin-1 letters; a space parts words.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9 ]+| ")
 PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -97,36 +101,57 @@ class Cache:
         self.place, self.runs, self.times = Places(), Runs(), self.times[at] // 2
         self.put([words[k] for k in at.tolist()], ids, np.diff(upto))
 
-    def of(self, words, n: int) -> np.ndarray:
-        at = self.place.of(words, n)
-        times = np.bincount(at, minlength=len(self.place))
+    def of(self, words, used: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of words; ``used`` tells how often each of them stands where it isn't once."""
+        at = self.place.of(words)
+        times = np.bincount(at, used, len(self.place)).astype(np.int64)
         times[: len(self.times)] += self.times
         self.times = times
         return at
 
 
+def split(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of all texts in a row, between ASCII white space, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+    found, counts = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    some = pc.binary_length(found).to_numpy() > 0  # white space at either end of a text leaves an empty string there
+    if not some.all():
+        edge = np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], np.cumsum(counts)])]
+        found, counts = found.filter(pa.array(some)), np.diff(edge)
+    return found.dictionary_encode(), counts
+
+
 class Words:
     """Ids of texts; ``path`` is a tokenizer file whose words end at ASCII white space."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), letters])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.word, self.part = Cache(CACHE), Cache(PARTS, (" ",))
 
-    def library(self, words: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(f.ids, np.uint32) for f in found]
+    @staticmethod
+    def encoded(words: list[str], tokenizer) -> list[np.ndarray]:
+        return [np.array(f.ids, np.uint32) for f in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def whole(self, words: list[str]) -> list[np.ndarray]:
+        return self.encoded(words, self.tokenizer)
+
+    def library(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of parts, or of several between spaces."""
+        return self.encoded(parts, self.plain)
 
     def learn_parts(self) -> None:
         new = self.part.place.noted()
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            ids = self.library([" ".join(some)])[0]
+        lots = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
+        for some, ids in zip(lots, self.library([" ".join(x) for x in lots]), strict=True):
             size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(size) != len(some) or size.sum() != len(ids):
                 each = self.library(some)
@@ -139,12 +164,12 @@ class Words:
         if "<|" in text or not PLAINS.fullmatch(text):
             words = text.split(" ")
             odd = [k for k, w in enumerate(words) if "<|" in w or not PLAIN.fullmatch(w)]
-            found = self.library([words[k] for k in odd])
+            found = self.whole([words[k] for k in odd])
             for k in odd:
                 words[k] = ""
             text = " ".join(words)
         parts = SPLIT.findall(text.lower())
-        at = self.part.of(parts, len(parts))
+        at = self.part.of(parts)
         self.learn_parts()
         ids, upto = self.part.runs(at)
         ends = upto[np.append(np.flatnonzero(at == 0), len(at))]
@@ -156,14 +181,15 @@ class Words:
 
     def encode(self, texts: list[bytes], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text followed by ``end``, and the number of ids of each text."""
-        split = [t.split() for t in texts]
-        counts = np.array([len(s) for s in split], np.int64)
+        found, counts = split(texts)
         self.word.trim()
         self.part.trim()
-        at = self.word.of(chain.from_iterable(split), counts.sum())
+        which = found.indices.to_numpy()
+        distinct = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        at = self.word.of(distinct, np.bincount(which, minlength=len(distinct)))
         if new := self.word.place.noted():
             self.learn(new)
-        ids, upto = self.word.runs(at)
+        ids, upto = self.word.runs(at[which])
         edge = upto[np.concatenate([[0], np.cumsum(counts)])]
         if end is None:
             return ids, np.diff(edge)

@@ -167,3 +167,35 @@ def test_nested_rules_are_written_at_their_places():
     four = [1, 2, 1, 2]
     assert grammar.expand(symbols, rules, 10, np.array([2, 4, 5])).tolist() == [*four, 3, 4, 1, 2, *four, 3, *four]
     assert grammar.packed(np.array([5, 0, 6], np.uint32), 3) == bytes([0b10000101, 0b1])
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet="ab\xe9 \t\n\x0b\x0c\r\x1c\x85\xa0\x00", max_size=12), max_size=6))
+def test_words_are_cut_as_python_cuts_bytes(texts):
+    texts = [t.encode() for t in texts]
+    found, counts = tokens.split(texts)
+    assert [w.encode() for w in found.to_pylist()] == [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts]
+
+
+def test_only_distinct_words_are_looked_up_and_parts_skip_what_is_done(monkeypatch):
+    """Slow before: each occurrence of a word was looked up, and lower-cased parts went through the whole tokenizer."""
+    coder = tokens.Words(tokens.tokenizer_path(tokens.TOKENIZER))
+    whole, encoded = [], coder.encoded
+    monkeypatch.setattr(coder, "encoded", lambda words, tokenizer: (whole.append(tokenizer is coder.tokenizer), encoded(words, tokenizer))[1])
+    looked, of = [], coder.word.of
+    monkeypatch.setattr(coder.word, "of", lambda words, *used: looked.extend(words) or of(words, *used))
+    texts = ["The ÉTÉ don't, 12 " * 500, " the été", ""]
+    ids, n = coder.encode([t.encode() for t in texts])
+    want = direct(texts)
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(looked) == 6 and whole == [False]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 2)), max_size=60))
+def test_distinct_pairs_equal_sorting_them(pairs):
+    key, group = np.array([10 * g + k for g, k in pairs], np.uint64), np.array([g for g, _ in pairs], np.int64)
+    got = grammar.distinct(key, group, 5)
+    want = np.unique(key, return_inverse=True, return_counts=True)
+    assert all(x.tolist() == y.tolist() for x, y in zip(got, want))
