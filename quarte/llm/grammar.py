@@ -1,7 +1,7 @@
 """Token ids stored under Re-Pair grammars, one per shard, with random access.
 
 Documents are dealt by ranges of doc_id and cut into shards of about ``SHARD`` ids. In a shard frequent pairs of
-neighbouring symbols are replaced by new symbols, again and again: each round counts all pairs, ranks those that stand
+neighbouring symbols are replaced by new symbols, again and again: each round counts the pairs, ranks those that stand
 at least ``LEAST`` times by their count, replaces where a pair outranks the pairs that overlap it, and adds a rule for
 each pair replaced often enough. It ends when a round shortens the sequence by less than ``GAIN``.
 
@@ -33,6 +33,7 @@ from quarte.llm.tokens import TOKENIZER, groups, words
 SHARD = 1 << 20  #: ids in a shard, but for a longer last document
 LEAST = 4  #: times that a pair must be replaced
 GAIN = 0.01  #: share of the sequence that a further round must save
+FEW = 0.75  #: share of the pairs below which those to count are picked
 MAGIC = b"RPG2"
 HEAD = struct.Struct("<4sIQQQQQQQ")  #: magic, first new symbol, documents, ids, rules, symbols, bytes of the three lists
 NO_ID = -(2**63)
@@ -42,15 +43,18 @@ def winners(rank: np.ndarray) -> np.ndarray:
     """Places that outrank both neighbours; in a stretch of one rank that outranks what is around it, every other place.
 
     Equal neighbours are a symbol repeated, or pairs that share a slot; either way places taken never touch."""
-    around = np.concatenate([[0], rank, [0]])
-    single = np.flatnonzero((rank > around[:-2]) & (rank > around[2:]))
-    equal = np.flatnonzero((rank[1:] == rank[:-1]) & (rank[1:] > 0))
+    over, under = np.ones(len(rank), bool), np.ones(len(rank), bool)  # than what is before and behind
+    np.greater(rank[1:], rank[:-1], out=over[1:])
+    np.greater(rank[:-1], rank[1:], out=under[:-1])
+    equal = np.flatnonzero(~(over[1:] | under[:-1]) & (rank[1:] > 0))
+    over[:1], under[-1:] = rank[:1] > 0, rank[-1:] > 0
+    single = np.flatnonzero(over & under)
     if not len(equal):
         return single
     first = np.concatenate([[True], np.diff(equal) > 1])
     start = equal[first]
     size = np.diff(np.append(np.flatnonzero(first), len(equal))) + 1
-    top = (around[start] < rank[start]) & (around[start + size + 1] < rank[start])
+    top = over[start] & under[start + size - 1]
     start, half = start[top], (size[top] + 1) // 2
     inside = np.repeat(start - 2 * (np.cumsum(half) - half), half) + 2 * np.arange(half.sum())
     return np.concatenate([single, inside])
@@ -74,28 +78,37 @@ def distinct(key: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarra
     return keys[rising], number[at], used[held[rising]]
 
 
-def replace_round(seq: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray]:
-    """One round over a sequence: the shorter sequence and the pairs behind its new symbols.
+def replace_round(seq: np.ndarray, first_new: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round over a sequence: the shorter sequence, the pairs behind its new symbols, and its pairs to count next.
 
-    Pairs are counted in hashed slots, which sets the ranks; the pairs at the places taken are then counted exactly."""
+    Pairs are counted in hashed slots, which sets the ranks; the pairs at the places taken are then counted exactly. ``live``
+    tells where a pair begins that may stand often enough: one that is seldom found is never found more often later, so where
+    such pairs are many, only those that were frequent or hold a new symbol are counted again."""
     none = np.zeros((0, 2), np.uint32)
-    if len(seq) < 2:
-        return seq, none
-    a, b = seq[:-1], seq[1:]
+    n = np.count_nonzero(live)
+    if not n:
+        return seq, none, live
+    few = n < FEW * len(live)
+    where = np.flatnonzero(live) if few else slice(len(live))
+    a, b = seq[:-1][where], seq[1:][where]
     bits = max(8, len(a).bit_length())
     slot = ((a * np.uint32(0x9E3779B1)) ^ ((b * np.uint32(0x85EBCA6B)) >> np.uint32(7)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+    slot = slot.astype(np.int64)
     times = np.bincount(slot, minlength=1 << bits)
     held = np.flatnonzero(times >= LEAST)
-    order = np.zeros(1 << bits, np.int64)
-    order[held] = (times[held] << bits) | held
-    place = winners(order[slot])
-    key = (a[place].astype(np.uint64) << np.uint64(32)) | b[place]
-    order[held] = np.arange(len(held))
-    pair, at, used = distinct(key, order[slot[place]], len(held))
+    order = np.zeros(1 << bits, np.int32)
+    order[held[np.argsort(times[held], kind="stable")]] = np.arange(1, len(held) + 1)
+    rank = order[slot]
+    if few:
+        rank, some = np.zeros(len(live), np.int32), rank
+        rank[where] = some
+    place = winners(rank)
+    key = (seq[place].astype(np.uint64) << np.uint64(32)) | seq[place + 1]
+    pair, at, used = distinct(key, rank[place].astype(np.int64) - 1, len(held))
     often = used >= LEAST
     place, at = place[often[at]], at[often[at]]
     if not len(place):
-        return seq, none
+        return seq, none, live
     symbol = (first_new + np.cumsum(often) - 1).astype(np.uint32)
     pair = pair[often]
     rules = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
@@ -103,14 +116,18 @@ def replace_round(seq: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarr
     out[place] = symbol[at]
     stay = np.ones(len(seq), bool)
     stay[place + 1] = False
-    return out[stay], rules
+    live = rank > 0
+    live[np.maximum(place, 1) - 1] = True
+    stay = np.flatnonzero(stay)
+    return out[stay], rules, live[stay[:-1]]
 
 
 def compress(ids: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules and expansion lengths of a sequence of ids below ``first_new``."""
     seq, rules, size = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.int64)
+    live = np.ones(max(len(seq) - 1, 0), bool)
     while True:
-        shorter, new = replace_round(seq, first_new + len(rules))
+        shorter, new, live = replace_round(seq, first_new + len(rules), live)
         if len(new):
             rules = np.concatenate([rules, new])
             size = np.concatenate([size, lengths_of(new, size, first_new).sum(1)])
@@ -152,13 +169,19 @@ def packed(symbols: np.ndarray, bits: int) -> bytes:
 
 
 def unpacked(data: np.ndarray, n: int, bits: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint32)
-    found = np.unpackbits(data, count=n * bits, bitorder="little").reshape(n, bits)
-    out = np.zeros(n, np.uint32)
-    for k in range(bits):
-        out |= found[:, k].astype(np.uint32) << np.uint32(k)
-    return out
+    """Numbers of so many bits; eight of them fill whole bytes, so that those at one place among eight are shifted alike."""
+    rows = -(-n // 8)
+    raw = np.zeros(rows * bits, np.uint8)
+    held = -(-n * bits // 8)
+    raw[:held] = data[:held]
+    raw, out = raw.reshape(rows, bits), np.empty((rows, 8), np.uint32)
+    for k in range(8):
+        at, skip = divmod(k * bits, 8)
+        number = np.zeros(rows, np.uint64)
+        for j in range(-(-(skip + bits) // 8)):
+            number |= raw[:, at + j].astype(np.uint64) << np.uint64(8 * j)
+        out[:, k] = (number >> np.uint64(skip)) & np.uint64((1 << bits) - 1)
+    return out.ravel()[:n]
 
 
 def write_shard(ids: np.ndarray, doc_ids: np.ndarray, sizes: np.ndarray) -> bytes:
@@ -197,7 +220,16 @@ class Shard:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first_new, self.size)
+        """All ids: every rule is expanded once, and its ids are copied to where its symbol stands."""
+        one = np.arange(self.first_new, dtype=np.uint32)
+        rules = np.arange(self.first_new, self.first_new + len(self.rules), dtype=np.uint32)
+        ids = np.concatenate([one, expand(rules, self.rules, self.first_new, self.size)])
+        size = np.concatenate([np.ones(self.first_new, np.int64), self.size])
+        n = size[self.symbols]
+        begin = (np.cumsum(size) - size)[self.symbols] - (self.upto - n)
+        at = np.repeat(begin, n)
+        at += np.arange(len(at))
+        return ids[at]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         if not n:

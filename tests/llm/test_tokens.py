@@ -199,3 +199,57 @@ def test_distinct_pairs_equal_sorting_them(pairs):
     got = grammar.distinct(key, group, 5)
     want = np.unique(key, return_inverse=True, return_counts=True)
     assert all(x.tolist() == y.tolist() for x, y in zip(got, want))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 32), st.data())
+def test_packed_numbers_come_back(bits, data):
+    numbers = np.array(data.draw(st.lists(st.integers(0, 2**bits - 1), max_size=40)), np.uint32)
+    raw = np.frombuffer(grammar.packed(numbers, bits) + b"\xff\xff", np.uint8)
+    assert grammar.unpacked(raw, len(numbers), bits).tolist() == numbers.tolist()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=60))
+def test_places_taken_never_touch_and_outrank_what_is_around(rank):
+    taken = sorted(grammar.winners(np.array(rank, np.int32)).tolist())
+    around = [0, *rank, 0]
+    want, at = [], 0
+    while at < len(rank):
+        end = at
+        while end + 1 < len(rank) and rank[end + 1] == rank[at]:
+            end += 1
+        if rank[at] > around[at] and rank[at] > around[end + 2]:
+            want += range(at, end + 1, 2)
+        at = end + 1
+    assert taken == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=400), st.integers(1, 3))
+def test_pairs_left_out_of_later_rounds_are_seldom(ids, times):
+    seq = np.array(ids * times, np.uint32)
+    live, first_new = np.ones(max(len(seq) - 1, 0), bool), 6
+    for _ in range(5):
+        seq, rules, live = grammar.replace_round(seq, first_new, live)
+        first_new += len(rules)
+        assert len(live) == max(len(seq) - 1, 0)
+        pairs = list(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))
+        assert all(pairs.count(pair) < grammar.LEAST for pair, on in zip(pairs, live, strict=True) if not on)
+
+
+def test_later_rounds_count_few_pairs_and_rules_are_expanded_once(monkeypatch):
+    """Slow before: each round counted every pair, and decoding expanded every symbol level by level."""
+    r = np.random.default_rng(5)
+    ids = np.concatenate([r.integers(0, 40000, 50000), np.tile(r.integers(0, 40000, 60), 600), r.integers(0, 40000, 50000)]).astype(np.uint32)
+    counted, bincount = [], np.bincount
+    with monkeypatch.context() as m:
+        m.setattr(np, "bincount", lambda x, *a, **k: counted.append((len(x), k.get("minlength", 0))) or bincount(x, *a, **k))
+        record = grammar.write_shard(ids, np.array([5]), np.array([len(ids)]))
+    rounds = [n for n, slots in counted if slots & (slots - 1) == 0 and slots]
+    assert rounds[0] == len(ids) - 1 and len(rounds) > 2 and max(rounds[2:]) < 0.3 * len(ids)
+    shard = grammar.Shard(record)
+    given, expand = [], grammar.expand
+    monkeypatch.setattr(grammar, "expand", lambda symbols, *a: given.append(len(symbols)) or expand(symbols, *a))
+    assert shard.all().tolist() == ids.tolist()
+    assert given == [len(shard.rules)] and len(shard.rules) < 0.1 * len(shard.symbols)
