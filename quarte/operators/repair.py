@@ -80,7 +80,7 @@ def outlier_limit(values: DataFrame, keys: list[str], floor: Column, med: DataFr
     med = stage(middle(values, keys, F.col("v"), "med")) if med is None else med
     spread = spread_join(values, med, keys, F.col("v")).withColumn("v", F.abs(F.col("v") - F.col("med")))
     mad = middle(spread, keys, F.col("v"), "mad")
-    both = med.join(mad, keys)
+    both = med.join(mad.hint("merge"), keys)  # packed files of medians look small enough to broadcast
     return both.withColumn("limit", F.greatest(floor, F.col("med") * 3.0, F.col("med") + 4.0 * F.col("mad")))
 
 
@@ -151,13 +151,14 @@ def _finish(todo: DataFrame, run: list[str]) -> DataFrame:
 
 def _apply(wide: DataFrame, todo: DataFrame, log: DataFrame, run: list[str]) -> DataFrame:
     """Write the lines of interpolated runs into the pose table."""
-    good = todo.drop("status", "length").join(log.where("status = 'interpolated'").select(*run), run, "left_semi")
+    done = log.where("status = 'interpolated'").select(*run).hint("merge")  # runs follow the poses, as do cells
+    good = todo.drop("status", "length").join(done, run, "left_semi")
     cells = good.withColumn("frame", F.explode(F.sequence("start_frame", "end_frame")))
     alpha = (F.col("frame") - F.col("a_frame")) / (F.col("b_frame") - F.col("a_frame"))
     cells = cells.withColumns({c: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * alpha for c in "xy"})
     picks = [F.max(F.when(F.col("kp") == k, F.col(c))).alias(f"_{c}{k}") for k in TARGETS for c in "xy"]
     fresh = cells.groupBy(*SIDE, "frame").agg(*picks)
-    out = wide.join(fresh, [*SIDE, "frame"], "left")
+    out = wide.join(fresh.hint("merge"), [*SIDE, "frame"], "left")
     return out.withColumns({f"{c}{k}": F.coalesce(f"_{c}{k}", f"{c}{k}") for k in TARGETS for c in "xy"}).select(
         *wide.columns
     )
